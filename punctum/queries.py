@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from punctum.functions.names import finite, with_gene
+from punctum.operators.balance import middle_rows, salted_aggregate, written_once
 from punctum.operators.proximity import points_in_regions, points_in_spheres
 from punctum.sources import table
 
@@ -29,7 +31,30 @@ def p1_cells_in_tiles(spark: SparkSession, d: str) -> DataFrame:
     return points_in_regions(cells, tile_edges(table(spark, d, "spots")), point_id="cell_id", region_id="spot_id", keys=["sample_id"], cell=50.0)
 
 
-QUERIES = {"p1_found": p1_found, "p1_cells_in_tiles": p1_cells_in_tiles}
+def keyed_readings(spark: SparkSession, d: str) -> DataFrame:
+    """(tx_id, sample_id, key_field, key_value, global_x): each reading once for its gene and once for its cell."""
+    t = table(spark, d, "transcripts").select("tx_id", "sample_id", "cell_id", "target", "global_x").where(finite(F.col("global_x")))
+    t = with_gene(t, table(spark, d, "gene_panel"), "target", how="left").drop("target").dropDuplicates(["tx_id"])
+    pairs = [F.struct(F.lit(n).alias("key_field"), F.col(c).alias("key_value")) for n, c in (("target", "gene_entry"), ("cell_id", "cell_id"))]
+    return t.select("tx_id", "sample_id", "global_x", F.explode(F.array(*pairs)).alias("k")).select("tx_id", "sample_id", "k.*", "global_x").where("key_value IS NOT NULL")
+
+
+KEY = ["sample_id", "key_field", "key_value"]
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The middle reading by global_x of every value of target and cell_id in each sample."""
+    return middle_rows(written_once(keyed_readings(spark, d), "keyed"), KEY, order="global_x", row_id="tx_id")
+
+
+def p5_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Readings and the span of global_x of every value of target and cell_id in each sample."""
+    partial = {"n": F.count(F.lit(1)), "lo": F.min("global_x"), "hi": F.max("global_x")}
+    merge = {"n_readings": F.sum("n"), "x_from": F.min("lo"), "x_to": F.max("hi")}
+    return salted_aggregate(keyed_readings(spark, d), KEY, F.col("tx_id"), partial, merge)
+
+
+QUERIES = {"p1_found": p1_found, "p1_cells_in_tiles": p1_cells_in_tiles, "p5_found": p5_found, "p5_totals": p5_totals}
 
 _FINITE = "{0} IS NOT NULL AND NOT isnan({0}) AND NOT isinf({0})"
 
@@ -38,7 +63,19 @@ def _finite(*cols: str) -> str:
     return " AND ".join(_FINITE.format(c) for c in cols)
 
 
+_GENE = "lower(regexp_replace({}, '[\\s\\p{{Z}}]+', '', 'g'))"
+_KEYED = f"""
+WITH r AS (SELECT DISTINCT t.tx_id, t.sample_id, t.cell_id, g.gene, t.global_x FROM transcripts t LEFT JOIN gene_panel g ON {_GENE.format("t.target")} = {_GENE.format("g.gene")}
+           WHERE {_finite("t.global_x")}),
+k AS (SELECT tx_id, sample_id, 'target' AS key_field, gene AS key_value, global_x FROM r WHERE gene IS NOT NULL
+      UNION ALL SELECT tx_id, sample_id, 'cell_id', cell_id, global_x FROM r WHERE cell_id IS NOT NULL)"""
+
 SQL = {
+    "p5_found": f"""{_KEYED},
+o AS (SELECT *, row_number() OVER (PARTITION BY sample_id, key_field, key_value ORDER BY global_x, tx_id) AS i, count(*) OVER (PARTITION BY sample_id, key_field, key_value) AS n FROM k)
+SELECT sample_id, key_field, key_value, tx_id FROM o WHERE i = (n + 1) // 2""",
+    "p5_totals": f"""{_KEYED}
+SELECT sample_id, key_field, key_value, count(*) AS n_readings, min(global_x) AS x_from, max(global_x) AS x_to FROM k GROUP BY ALL""",
     "p1_found": f"""
 WITH p AS (SELECT DISTINCT tx_id, sample_id, global_x x, global_y y, global_z z, floor(global_x / 64) gx, floor(global_y / 64) gy FROM transcripts
            WHERE {_finite("global_x", "global_y", "global_z")}),
