@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from punctum.functions.names import finite, with_gene
 from punctum.operators.balance import middle_rows, salted_aggregate, written_once
+from punctum.operators.compaction import consolidate_points
 from punctum.operators.proximity import points_in_regions, points_in_spheres
+from punctum.plans.shared import staging_path
 from punctum.sources import table
 
 
@@ -39,6 +41,23 @@ def keyed_readings(spark: SparkSession, d: str) -> DataFrame:
     return t.select("tx_id", "sample_id", "global_x", F.explode(F.array(*pairs)).alias("k")).select("tx_id", "sample_id", "k.*", "global_x").where("key_value IS NOT NULL")
 
 
+def p4_consolidated(spark: SparkSession, d: str) -> DataFrame:
+    """The simulated points, read back from the consolidated files."""
+    path = staging_path(spark, "points")
+    return consolidate_points(table(spark, d, "simulated_parquet"), table(spark, d, "scenario_def"), path)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct simulated point once."""
+    return p4_consolidated(spark, d).where("scenario IS NOT NULL AND seed IS NOT NULL AND point_no IS NOT NULL").select("scenario", "seed", "point_no")
+
+
+def p4_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Points, seeds and background points of each scenario in the consolidated files."""
+    total = p4_consolidated(spark, d).where("scenario IS NOT NULL").groupBy("scenario")
+    return total.agg(F.count(F.lit(1)).alias("n_points"), F.countDistinct("seed").alias("n_seeds"), F.count_if(F.col("granule_id") == -1).alias("n_background"))
+
+
 KEY = ["sample_id", "key_field", "key_value"]
 
 
@@ -54,7 +73,7 @@ def p5_totals(spark: SparkSession, d: str) -> DataFrame:
     return salted_aggregate(keyed_readings(spark, d), KEY, F.col("tx_id"), partial, merge)
 
 
-QUERIES = {"p1_found": p1_found, "p1_cells_in_tiles": p1_cells_in_tiles, "p5_found": p5_found, "p5_totals": p5_totals}
+QUERIES = {"p1_found": p1_found, "p1_cells_in_tiles": p1_cells_in_tiles, "p4_found": p4_found, "p4_totals": p4_totals, "p5_found": p5_found, "p5_totals": p5_totals}
 
 _FINITE = "{0} IS NOT NULL AND NOT isnan({0}) AND NOT isinf({0})"
 
@@ -69,8 +88,22 @@ WITH r AS (SELECT DISTINCT t.tx_id, t.sample_id, t.cell_id, g.gene, t.global_x F
            WHERE {_finite("t.global_x")}),
 k AS (SELECT tx_id, sample_id, 'target' AS key_field, gene AS key_value, global_x FROM r WHERE gene IS NOT NULL
       UNION ALL SELECT tx_id, sample_id, 'cell_id', cell_id, global_x FROM r WHERE cell_id IS NOT NULL)"""
+_PATH_SCENARIO = ["scenario=([^/]+)", "([^/]+?)__s[0-9]+", "([^/]+)/seed_[0-9]+", "([^/]+)/[0-9]+/[^/]+$"]
+_PATH_SEED = ["seed=([0-9]+)", "__s([0-9]+)", "/seed_([0-9]+)", "/([0-9]+)/[^/]+$"]
+_PLAIN = "lower(regexp_replace({}, '[\\s_-]+', '', 'g'))"
+
+
+def _from_path(patterns: list[str]) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract(file_path, '{p}', 1), '')" for p in patterns) + ")"
+
+
+_POINTS = f"""
+WITH p AS (SELECT coalesce(nullif({_PLAIN.format("scenario")}, ''), {_PLAIN.format(_from_path(_PATH_SCENARIO))}) AS k, coalesce(seed, CAST({_from_path(_PATH_SEED)} AS BIGINT)) AS seed, point_no, granule_id FROM simulated_parquet),
+q AS (SELECT s.scenario, p.seed, p.point_no, min(p.granule_id) AS granule_id FROM p JOIN scenario_def s ON p.k = {_PLAIN.format("s.scenario")} GROUP BY ALL)"""
 
 SQL = {
+    "p4_found": f"{_POINTS} SELECT scenario, seed, point_no FROM q",
+    "p4_totals": f"{_POINTS} SELECT scenario, count(*) AS n_points, count(DISTINCT seed) AS n_seeds, count(*) FILTER (granule_id = -1) AS n_background FROM q GROUP BY ALL",
     "p5_found": f"""{_KEYED},
 o AS (SELECT *, row_number() OVER (PARTITION BY sample_id, key_field, key_value ORDER BY global_x, tx_id) AS i, count(*) OVER (PARTITION BY sample_id, key_field, key_value) AS n FROM k)
 SELECT sample_id, key_field, key_value, tx_id FROM o WHERE i = (n + 1) // 2""",
