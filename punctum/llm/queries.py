@@ -1,4 +1,45 @@
 """Queries of this subpackage over the test tables, and SQL to hold them against."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from punctum.functions.names import with_gene
+from punctum.llm.groups import group_matches, matched_spheres
+from punctum.sources import table
+
+#: Distance in the plane at which two spheres match.
+MATCH_DISTANCE = 1.25
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every sphere that matches another, with its group."""
+    spheres = with_gene(table(spark, d, "sphere"), table(spark, d, "gene_panel"), "gene")
+    return group_matches(*matched_spheres(spheres, distance=MATCH_DISTANCE))
+
+
+def p2_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Groups by their number of spheres."""
+    sizes = p2_found(spark, d).groupBy("group_id").agg(F.count(F.lit(1)).alias("n_spheres"))
+    return sizes.groupBy("n_spheres").agg(F.count(F.lit(1)).alias("n_groups"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_sizes": p2_sizes}
+
+_GENE = "lower(regexp_replace({}, '[\\s\\p{{Z}}]+', '', 'g'))"
+_MATCHES = f"""
+WITH RECURSIVE s AS MATERIALIZED (SELECT DISTINCT sphere_id, sample_id, p.gene, sphere_x x, sphere_y y, floor(sphere_x / 1.25) ix, floor(sphere_y / 1.25) iy FROM sphere
+      JOIN gene_panel p ON {_GENE.format("sphere.gene")} = {_GENE.format("p.gene")} WHERE NOT isnan(sphere_x) AND NOT isnan(sphere_y) AND NOT isinf(sphere_x) AND NOT isinf(sphere_y)),
+o AS (SELECT unnest([-1, 0, 1]) AS i), oo AS (SELECT a.i, b.i AS j FROM o a, o b),
+k AS (SELECT s.*, ix + i AS kx, iy + j AS ky FROM s, oo),
+m AS MATERIALIZED (SELECT a.sphere_id u, b.sphere_id v FROM k a JOIN s b ON a.sample_id = b.sample_id AND a.kx = b.ix AND a.ky = b.iy
+      WHERE a.gene <> b.gene AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1.5625),
+r AS (SELECT u AS root, u AS node FROM (SELECT DISTINCT u FROM m) UNION SELECT r.root, m.v FROM r JOIN m ON r.node = m.u),
+g AS (SELECT min(root) AS group_id, node AS sphere_id FROM r GROUP BY node)
+"""
+
+SQL = {
+    "p2_found": f"{_MATCHES} SELECT group_id, sphere_id FROM g",
+    "p2_sizes": f"{_MATCHES} SELECT n_spheres, count(*) AS n_groups FROM (SELECT count(*) AS n_spheres FROM g GROUP BY group_id) GROUP BY n_spheres",
+}
