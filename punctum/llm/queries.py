@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctum.functions.names import with_gene
+from punctum.llm.clusters import similarity_clusters, typical_members
 from punctum.llm.groups import group_matches, matched_spheres
 from punctum.sources import table
 
@@ -25,7 +26,22 @@ def p2_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.groupBy("n_spheres").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_sizes": p2_sizes}
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    readings = with_gene(table(spark, d, "transcripts"), table(spark, d, "gene_panel"), "target")
+    return similarity_clusters(readings, row_id="tx_id", keys=["sample_id"], block="gene_entry", xyz=["global_x", "global_y", "global_z"])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every reading of every aggregate."""
+    return _clusters(spark, d).select("cluster_id", "tx_id")
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical readings of every aggregate."""
+    return typical_members(_clusters(spark, d), row_id="tx_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_sizes": p2_sizes, "p3_found": p3_found, "p3_clusters": p3_clusters}
 
 _GENE = "lower(regexp_replace({}, '[\\s\\p{{Z}}]+', '', 'g'))"
 _MATCHES = f"""
@@ -38,8 +54,23 @@ m AS MATERIALIZED (SELECT a.sphere_id u, b.sphere_id v FROM k a JOIN s b ON a.sa
 r AS (SELECT u AS root, u AS node FROM (SELECT DISTINCT u FROM m) UNION SELECT r.root, m.v FROM r JOIN m ON r.node = m.u),
 g AS (SELECT min(root) AS group_id, node AS sphere_id FROM r GROUP BY node)
 """
+_NEAR = f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT DISTINCT tx_id, sample_id, p.gene, global_x x, global_y y, global_z z, floor(global_x / 1.5) ix, floor(global_y / 1.5) iy FROM transcripts
+      JOIN gene_panel p ON {_GENE.format("transcripts.target")} = {_GENE.format("p.gene")}
+      WHERE NOT isnan(global_x) AND NOT isnan(global_y) AND NOT isnan(global_z) AND NOT isinf(global_x) AND NOT isinf(global_y) AND NOT isinf(global_z)),
+o AS (SELECT unnest([-1, 0, 1]) AS i), oo AS (SELECT a.i, b.i AS j FROM o a, o b),
+k AS (SELECT t.*, ix + i AS kx, iy + j AS ky FROM t, oo),
+m AS MATERIALIZED (SELECT a.tx_id u, b.tx_id v FROM k a JOIN t b ON a.sample_id = b.sample_id AND a.gene = b.gene AND a.kx = b.ix AND a.ky = b.iy
+      WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 2.25),
+c AS MATERIALIZED (SELECT u FROM m GROUP BY u HAVING count(*) >= 3),
+e AS MATERIALIZED (SELECT u, v FROM m WHERE u IN (FROM c) AND v IN (FROM c)),
+r AS (SELECT u AS root, u AS node FROM c UNION SELECT r.root, e.v FROM r JOIN e ON r.node = e.u),
+g AS MATERIALIZED (SELECT min(root) AS cluster_id, node FROM r GROUP BY node),
+f AS (SELECT cluster_id, node AS tx_id FROM g UNION ALL SELECT min(cluster_id), m.u FROM m JOIN g ON m.v = g.node WHERE m.u NOT IN (FROM c) GROUP BY m.u)
+"""
 
 SQL = {
+    "p3_found": f"{_NEAR} SELECT cluster_id, tx_id FROM f",
     "p2_found": f"{_MATCHES} SELECT group_id, sphere_id FROM g",
     "p2_sizes": f"{_MATCHES} SELECT n_spheres, count(*) AS n_groups FROM (SELECT count(*) AS n_spheres FROM g GROUP BY group_id) GROUP BY n_spheres",
 }
