@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from punctum.functions.names import with_gene
 from punctum.llm.clusters import similarity_clusters, typical_members
+from punctum.llm.encoding import encode_corpus
 from punctum.llm.groups import group_matches, matched_spheres
 from punctum.sources import table
 
@@ -41,7 +42,12 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     return typical_members(_clusters(spark, d), row_id="tx_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_sizes": p2_sizes, "p3_found": p3_found, "p3_clusters": p3_clusters}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_corpus(table(spark, d, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_sizes": p2_sizes, "p3_found": p3_found, "p3_clusters": p3_clusters, "p6_ids": p6_ids}
 
 _GENE = "lower(regexp_replace({}, '[\\s\\p{{Z}}]+', '', 'g'))"
 _MATCHES = f"""
