@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctum.functions.names import finite
-from punctum.plans.shared import cut, staging_path
+from punctum.plans.shared import cut
 
 #: Rows of one key above which it is salted.
 HEAVY_ROWS = 100_000
@@ -21,6 +21,8 @@ HEAVY_ROWS = 100_000
 SALTS = 32
 #: Rows of one key that one task may order.
 ORDERED_ROWS = 1 << 16
+#: Up to so many keys, at well under 200 bytes each, their picked digits are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_KEYS = 50_000
 
 
 def heavy_keys(rows: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
@@ -79,17 +81,12 @@ def middle_rows(rows: DataFrame, keys: Sequence[str], *, order: str, row_id: str
     rank = None
     for digit in digits:
         picked = cut(_picked(left, keys, digit, rank, heavy, salts))
-        most = picked.agg(F.max("__n")).first()[0]
-        left = left.drop("__rank").withColumn("__digit", digit).join(picked.drop("__n"), [*keys, "__digit"]).drop("__digit")
+        n_keys, most = picked.agg(F.count(F.lit(1)), F.max("__n")).first()
+        side = picked.drop("__n")
+        side = F.broadcast(side) if n_keys <= BROADCAST_KEYS else side
+        left = left.drop("__rank").withColumn("__digit", digit).join(side, [*keys, "__digit"]).drop("__digit")
         rank = F.col("__rank")
         if most is None or most <= ordered_rows:
             break
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("__x", "__id"))
     return left.withColumn("__place", place).where(F.col("__place") == rank).select(*keys, F.col("__id").alias(row_id))
-
-
-def written_once(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table written to the shared folder, which later passes read instead of computing it again."""
-    path = staging_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

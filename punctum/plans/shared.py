@@ -1,4 +1,4 @@
-"""Storage that every executor reaches: reliable checkpoints and staging folders."""
+"""Storage that every executor reaches: tables that cut lineage, and staging folders."""
 
 from __future__ import annotations
 
@@ -25,12 +25,29 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, with no lineage behind it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def staging_path(spark: SparkSession, label: str) -> str:
     """A folder name below the shared folder that no other call gets."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def written_once(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table written to the shared folder, which later passes read instead of computing it again."""
+    path = staging_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept as a table in the shared folder, with no lineage behind it.
+
+    For loops: unlike ``checkpoint()`` this also leaves the plan's constraints behind, which grow with every self-join.
+    """
+    return written_once(df, "round")
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables made by ``cut`` or ``written_once`` that nothing will read again."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

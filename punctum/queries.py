@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctum.functions.names import finite, with_gene
-from punctum.operators.balance import middle_rows, salted_aggregate, written_once
+from punctum.operators.balance import middle_rows, salted_aggregate
 from punctum.operators.compaction import consolidate_points
 from punctum.operators.proximity import points_in_regions, points_in_spheres
-from punctum.plans.shared import staging_path
+from punctum.plans.shared import staging_path, written_once
 from punctum.sources import table
 
 
@@ -33,12 +33,16 @@ def p1_cells_in_tiles(spark: SparkSession, d: str) -> DataFrame:
     return points_in_regions(cells, tile_edges(table(spark, d, "spots")), point_id="cell_id", region_id="spot_id", keys=["sample_id"], cell=50.0)
 
 
-def keyed_readings(spark: SparkSession, d: str) -> DataFrame:
-    """(tx_id, sample_id, key_field, key_value, global_x): each reading once for its gene and once for its cell."""
+def distinct_readings(spark: SparkSession, d: str) -> DataFrame:
+    """(tx_id, sample_id, cell_id, gene_entry, global_x): each reading with a finite global_x once."""
     t = table(spark, d, "transcripts").select("tx_id", "sample_id", "cell_id", "target", "global_x").where(finite(F.col("global_x")))
-    t = with_gene(t, table(spark, d, "gene_panel"), "target", how="left").drop("target").dropDuplicates(["tx_id"])
+    return with_gene(t, table(spark, d, "gene_panel"), "target", how="left").drop("target").distinct()
+
+
+def by_key(readings: DataFrame) -> DataFrame:
+    """(tx_id, sample_id, key_field, key_value, global_x): each reading once for its gene and once for its cell."""
     pairs = [F.struct(F.lit(n).alias("key_field"), F.col(c).alias("key_value")) for n, c in (("target", "gene_entry"), ("cell_id", "cell_id"))]
-    return t.select("tx_id", "sample_id", "global_x", F.explode(F.array(*pairs)).alias("k")).select("tx_id", "sample_id", "k.*", "global_x").where("key_value IS NOT NULL")
+    return readings.select("tx_id", "sample_id", "global_x", F.explode(F.array(*pairs)).alias("k")).select("tx_id", "sample_id", "k.*", "global_x").where("key_value IS NOT NULL")
 
 
 def p4_consolidated(spark: SparkSession, d: str) -> DataFrame:
@@ -63,14 +67,14 @@ KEY = ["sample_id", "key_field", "key_value"]
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The middle reading by global_x of every value of target and cell_id in each sample."""
-    return middle_rows(written_once(keyed_readings(spark, d), "keyed"), KEY, order="global_x", row_id="tx_id")
+    return middle_rows(by_key(written_once(distinct_readings(spark, d), "readings")), KEY, order="global_x", row_id="tx_id")
 
 
 def p5_totals(spark: SparkSession, d: str) -> DataFrame:
     """Readings and the span of global_x of every value of target and cell_id in each sample."""
     partial = {"n": F.count(F.lit(1)), "lo": F.min("global_x"), "hi": F.max("global_x")}
     merge = {"n_readings": F.sum("n"), "x_from": F.min("lo"), "x_to": F.max("hi")}
-    return salted_aggregate(keyed_readings(spark, d), KEY, F.col("tx_id"), partial, merge)
+    return salted_aggregate(by_key(distinct_readings(spark, d)), KEY, F.col("tx_id"), partial, merge)
 
 
 QUERIES = {"p1_found": p1_found, "p1_cells_in_tiles": p1_cells_in_tiles, "p4_found": p4_found, "p4_totals": p4_totals, "p5_found": p5_found, "p5_totals": p5_totals}
