@@ -9,6 +9,7 @@ from punctum.functions.names import with_gene
 from punctum.llm.clusters import similarity_clusters, typical_members
 from punctum.llm.encoding import encode_corpus
 from punctum.llm.groups import group_matches, matched_spheres
+from punctum.llm.leaks import leaked_items
 from punctum.sources import table
 
 #: Distance in the plane at which two spheres match.
@@ -47,7 +48,17 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_sizes": p2_sizes, "p3_found": p3_found, "p3_clusters": p3_clusters, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a stretch of an evaluation passage."""
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).where("held").select("doc_id", "item_id")
+
+
+def p7_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold an evaluation passage, or one with its slots filled otherwise."""
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_sizes": p2_sizes, "p3_found": p3_found, "p3_clusters": p3_clusters, "p6_ids": p6_ids, "p7_found": p7_found, "p7_kinds": p7_kinds}
 
 _GENE = "lower(regexp_replace({}, '[\\s\\p{{Z}}]+', '', 'g'))"
 _MATCHES = f"""
