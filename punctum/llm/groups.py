@@ -2,8 +2,8 @@
 
 Minimum labels go across edges: every node points to the smallest node next to it. Pointer jumping then shortens all
 chains of pointers to their roots, and the graph is contracted to the roots, until no edge is left, that is, until no
-label changes. Each round at least halves the nodes that still have edges. Every round ends in a checkpoint in the
-shared folder, so a lost executor costs at most one round.
+label changes. Each round at least halves the nodes that still have edges. Every step ends in a table in the shared
+folder, so a lost executor costs at most one step.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctum.functions.names import finite
-from punctum.plans.shared import cut
+from punctum.plans.shared import cut, forget
 
 
 def connected_groups(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,21 +27,29 @@ def connected_groups(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = None
     while labels is None or not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
-        while True:
+        parent = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")))
+        moved = True
+        while moved:
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = cut(parent.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
-            parent = jumped.drop("moved")
-            if jumped.where("moved").isEmpty():
-                break
+            once = parent.join(up, "root").select("node", "root", "above")
+            top = up.select(F.col("root").alias("above"), F.col("above").alias("top"))
+            jumped = cut(once.join(top, "above").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
+            moved = not jumped.where("moved").isEmpty()
+            forget(parent)
+            parent = jumped
+        parent = parent.drop("moved")
         at = lambda name: parent.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
-        moved = edges.join(at("a"), "a").join(at("b"), "b").where("root_a <> root_b")
-        edges = cut(moved.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
+        apart = edges.join(at("a"), "a").join(at("b"), "b").where("root_a <> root_b")
+        contracted = cut(apart.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
+        forget(edges)
+        edges = contracted
         if labels is None:
             labels = parent
         else:
             step = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            labels = cut(labels.join(step, "root", "left").select("node", F.coalesce("above", "root").alias("root")))
+            relabelled = cut(labels.join(step, "root", "left").select("node", F.coalesce("above", "root").alias("root")))
+            forget(labels, parent)
+            labels = relabelled
     return labels
 
 
