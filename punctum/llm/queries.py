@@ -9,6 +9,7 @@ from punctum.functions.names import with_gene
 from punctum.llm.clusters import similarity_clusters, typical_members
 from punctum.llm.encoding import encode_corpus
 from punctum.llm.groups import group_matches, matched_spheres
+from punctum.llm.languages import main_language, named_language, passages, with_segments
 from punctum.llm.leaks import leaked_items
 from punctum.sources import table
 
@@ -58,7 +59,29 @@ def p7_kinds(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_sizes": p2_sizes, "p3_found": p3_found, "p3_clusters": p3_clusters, "p6_ids": p6_ids, "p7_found": p7_found, "p7_kinds": p7_kinds}
+def _segmented(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", F.col("lang").alias("label"), "text")
+    return with_segments(documents, table(spark, d, "lang_samples"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of passages of a document that its label doesn't name."""
+    found = passages(_segmented(spark, d))
+    named = table(spark, d, "documents").select("doc_id", named_language(F.col("lang")).alias("lang")).where("lang IS NOT NULL")
+    return found.join(named, ["doc_id", "lang"], "left_anti")
+
+
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The main language of every document, with a confidence value."""
+    return main_language(_segmented(spark, d))
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment of every document, with its language and a confidence value."""
+    return _segmented(spark, d).select("doc_id", F.posexplode("segments").alias("segment_no", "s")).select("doc_id", "segment_no", F.col("s.start").alias("from_char"), F.col("s.end").alias("to_char"), "s.lang", "s.confidence")
+
+
+QUERIES = {"p2_found": p2_found, "p2_sizes": p2_sizes, "p3_found": p3_found, "p3_clusters": p3_clusters, "p6_ids": p6_ids, "p7_found": p7_found, "p7_kinds": p7_kinds, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
 
 _GENE = "lower(regexp_replace({}, '[\\s\\p{{Z}}]+', '', 'g'))"
 _MATCHES = f"""
