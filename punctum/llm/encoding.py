@@ -32,9 +32,9 @@ LEAST, BITS, MOST = 64, 8, 4096
 #: fixed word of the pattern has three characters, and runs look one character ahead.
 AHEAD = 4
 #: Word starts of a chunk at which the reading before it may meet it; its last one comes besides.
-STARTS = 24
+STARTS = 12
 
-_GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint64)
+_GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
 def chunk_ends(data: bytes) -> list[int]:
@@ -46,8 +46,8 @@ def chunk_ends(data: bytes) -> list[int]:
     gear = _GEAR[raw]
     h = gear.copy()
     for k in range(1, WINDOW):
-        h[k:] += gear[:-k] << np.uint64(k)
-    mask = np.uint64(((1 << BITS) - 1) << (WINDOW + 8))
+        h[k:] += gear[:-k] << np.uint32(k)
+    mask = np.uint32(((1 << BITS) - 1) << (32 - BITS))
     whole = np.ones(n + 1, bool)
     whole[:n] = (raw & 0xC0) != 0x80
     marks = np.flatnonzero((h & mask) == 0) + 1
@@ -114,7 +114,7 @@ class Joiner:
             counts.append(len(ids) - len(self.encode(text[starts[-1] :])))
         return starts, counts
 
-    def join(self, chunks: list[tuple[str, list[int], list[int], list[int]]]) -> list[int]:
+    def join(self, chunks: list) -> list[int]:
         """Ids of the text made of ``chunks``: (text, its ids, certain word starts, ids before each)."""
         out: list[int] = []
         pending: list[str] = []  # text from the last certain word start on
@@ -182,16 +182,31 @@ def _encode_rows(vocabulary: str):
 
 
 def _join_rows(vocabulary: str):
+    """Chunks in order of text and place, as a stream: one text is held at a time, whatever the batches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joiner = Joiner(vocabulary)
+        current, parts = None, []
         for batch in batches:
-            for uid, parts in zip(batch["uid"].to_pylist(), batch["parts"]):
-                ids = joiner.join([(p["chunk"], p["ids"], p["starts"], p["counts"]) for p in parts.as_py()])
-                yield pa.RecordBatch.from_arrays([pa.array([uid], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], ["uid", "ids"])
+            uids, ids = [], []
+            for uid, *part in zip(*(batch[c].to_pylist() for c in ("uid", "chunk", "ids", "starts", "counts"))):
+                if uid != current and parts:
+                    uids.append(current)
+                    ids.append(joiner.join(parts))
+                    parts = []
+                current = uid
+                parts.append(part)
+            yield _ids_batch(uids, ids)
+        if parts:
+            yield _ids_batch([current], [joiner.join(parts)])
 
     return run
 
 
+def _ids_batch(uids: list[int], ids: list[list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["uid", "ids"])
+
+
 def encode_corpus(documents: DataFrame, *, row_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(row_id, ids) for every row of ``documents``: the ids of its text by the rank file ``vocabulary``.
 
@@ -209,7 +224,7 @@ def encode_corpus(documents: DataFrame, *, row_id: str = "doc_id", text: str = "
     once = chunks.select("h1", "h2", "chunk").distinct()
     encoded = once.mapInArrow(_encode_rows(vocabulary), "h1 long, h2 long, chunk string, ids array<int>, starts array<int>, counts array<int>")
     parts = chunks.select("uid", "no", "h1", "h2").join(encoded, ["h1", "h2"])
-    texts = parts.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("no", "chunk", "ids", "starts", "counts"))).alias("parts"))
-    ids = texts.mapInArrow(_join_rows(vocabulary), "uid long, ids array<int>")
+    ordered = parts.repartition("uid").sortWithinPartitions("uid", "no").select("uid", "chunk", "ids", "starts", "counts")
+    ids = ordered.mapInArrow(_join_rows(vocabulary), "uid long, ids array<int>")
     empty = F.array().cast("array<int>")
     return rows.select("id", "uid").join(ids, "uid", "left").select(F.col("id").alias(row_id), F.coalesce("ids", empty).alias("ids"))
