@@ -2,7 +2,7 @@
 
 1. Template canonicalisation: the words of passages and texts (``punctum.llm.words``) become templates in which
    numbers, units and names are typed placeholders. A name is a word that no passage uses in lower case.
-2. Windows of three template words are joined by hash. A stretch of at least 15 words with at most one edit in five keeps
+2. Windows of three words are joined by hash, of their template if two of the three are ordinary words. A stretch of at least 15 words with at most one edit in five keeps
    at least four of its windows (13 of them, less three for each of three edits), so a text and an item that share
    fewer can't be a case.
 3. The pairs left are aligned word by word, with all edits counted; then the fillers of their slots are compared, which
@@ -59,16 +59,23 @@ def template(ws: list[str], ordinary: frozenset[str]) -> list[str]:
     return [_NUMBER if w[0].isdigit() else _UNIT if w in UNITS else w if w in ordinary else _NAME for w in ws]
 
 
-def window_hashes(ts: list[str]) -> np.ndarray:
-    """A 64-bit hash for each window of ``WINDOW`` template words."""
-    seen: dict[str, int] = {}
-    h = np.array([seen.get(t) or seen.setdefault(t, xxhash.xxh64_intdigest(t)) for t in ts], np.uint64)
-    n = len(h) - WINDOW + 1
+def window_hashes(ws: list[str], ordinary: frozenset[str]) -> np.ndarray:
+    """A 64-bit hash for each window of ``WINDOW`` words: of its template if that has two ordinary words, else of the words.
+
+    A window of placeholders says nothing, so it is compared by its words; equal words give equal hashes either way.
+    """
+    n = len(ws) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.int64)
+    seen: dict[str, int] = {}
+    code = lambda w: seen.get(w) or seen.setdefault(w, xxhash.xxh64_intdigest(w))
+    ts = template(ws, ordinary)
+    own, typed = np.array([code(w) for w in ws], np.uint64), np.array([code(t) for t in ts], np.uint64)
+    plain = np.array([t[0] != "<" for t in ts], np.int8)
+    by_words = sum(plain[k : k + n] for k in range(WINDOW)) < 2
     out = np.zeros(n, np.uint64)
     for k in range(WINDOW):
-        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ np.where(by_words, own[k : k + n], typed[k : k + n])) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out.view(np.int64)
 
@@ -105,12 +112,17 @@ def holds_stretch(passage: np.ndarray, text: np.ndarray) -> bool:
     return False
 
 
-def _near(ts: np.ndarray, wanted: set[int], reach: int) -> list[tuple[int, int]]:
-    """Parts of a text, as (from, to), around its windows that are in ``wanted``; parts that touch are one."""
-    hits = np.flatnonzero(np.isin(ts, np.fromiter(wanted, np.int64, len(wanted))))
+def _near(ts: np.ndarray, wanted: np.ndarray, reach: int) -> list[tuple[int, int]]:
+    """Parts of a text, as (from, to), around ``SHARED`` of its windows that are in ``wanted`` and within ``reach`` of each other.
+
+    Parts that touch are one; a stretch is in one of them, as it has so many shared windows itself.
+    """
+    hits = np.flatnonzero(np.isin(ts, wanted))
+    ends = SHARED - 1
+    close = np.flatnonzero(hits[ends:] - hits[: len(hits) - ends] <= reach)
     parts: list[tuple[int, int]] = []
-    for h in hits.tolist():
-        lo, hi = max(0, h - reach), h + WINDOW + reach
+    for i in close.tolist():
+        lo, hi = max(0, int(hits[i]) - reach), int(hits[i + ends]) + WINDOW + reach
         if parts and lo <= parts[-1][1]:
             parts[-1] = (parts[-1][0], hi)
         else:
@@ -137,12 +149,14 @@ def compare(item: list[str], text: list[str], ordinary: frozenset[str]) -> tuple
     Varied texts replace names, numbers or units one for one: a filler of the item always by the same filler, and
     two by two different ones.
     """
-    ti, tt = template(item, ordinary), template(text, ordinary)
-    hi, ht = window_hashes(ti), window_hashes(tt)
-    parts = _near(ht, set(hi.tolist()), REACH)
+    hashes = window_hashes(text, ordinary)
+    parts = _near(hashes, window_hashes(item, ordinary), REACH)
+    if not parts:
+        return False, False
     ci, ct = _codes(item, text)
     if any(holds_stretch(ci, ct[lo:hi_]) for lo, hi_ in _blocks(parts)):
         return True, False
+    ti, tt = template(item, ordinary), template(text, ordinary)
     ki, kt = _codes(ti, tt)
     for lo, hi_ in _blocks(parts):
         if holds_stretch(ki, kt[lo:hi_]) and _consistent(item, ti, text[lo:hi_], tt[lo:hi_]):
@@ -165,10 +179,14 @@ def _consistent(item: list[str], ti: list[str], text: list[str], tt: list[str])
     return bool(pairs) and clashes <= len(pairs) // PER_EDIT and any(a != b for a, b in pairs)
 
 
-def _text_windows(ordinary: frozenset[str]):
+def _text_windows(ordinary: frozenset[str], known: np.ndarray | None):
+    """Window hashes of each text, of these only the ones in ``known`` if that is given."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [np.unique(window_hashes(template(words(t), ordinary))) for t in batch["text"].to_pylist()]
+            hashes = [np.unique(window_hashes(words(t), ordinary)) for t in batch["text"].to_pylist()]
+            if known is not None:
+                hashes = [h[np.isin(h, known)] for h in hashes]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in hashes])]), pa.int32())
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *hashes]), pa.int64())
             yield pa.RecordBatch.from_arrays([batch["h1"], batch["h2"], pa.ListArray.from_arrays(offsets, flat)], ["h1", "h2", "hashes"])
@@ -192,6 +210,8 @@ def _compared(ordinary: frozenset[str]):
     return run
 
 
+#: Up to so many windows of all items, 16 MB of hashes, are sent to the executors to sift the texts' windows before the join.
+SIFTED = 2_000_000
 #: Held-out items that the driver reads at most; a larger set is an error and no reason to drop any.
 MOST_ITEMS = 200_000
 
@@ -210,13 +230,16 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, row_id: str = "doc_i
     ordinary = vocabulary(passages)
     per_item = passage_words(passages)
     kind = items.schema[item_id].dataType.simpleString()
-    rows = [(r[0], ws, list(Counter(window_hashes(template(ws, ordinary)).tolist()).items())) for r, ws in zip(held_out, per_item)]
+    rows = [(r[0], ws, list(Counter(window_hashes(ws, ordinary).tolist()).items())) for r, ws in zip(held_out, per_item)]
     known = spark.createDataFrame(rows, f"item_id {kind}, item_words array<string>, windows array<struct<hash: long, times: int>>")
     windows = known.select("item_id", F.explode("windows").alias("w")).select("item_id", "w.*")
 
+    sift = np.unique(np.array([h for r in rows for h, _ in r[2]], np.int64))
+    sift = sift if len(sift) <= SIFTED else None
+
     docs = documents.select(F.col(row_id).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL AND length(text) > 0")
     docs = docs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), F.col("text"))})
-    found = docs.select("h1", "h2", "text").mapInArrow(_text_windows(ordinary), "h1 long, h2 long, hashes array<long>")
+    found = docs.select("h1", "h2", "text").mapInArrow(_text_windows(ordinary, sift), "h1 long, h2 long, hashes array<long>")
     found = found.select("h1", "h2", F.explode("hashes").alias("hash")).join(windows, "hash").distinct()
     pairs = found.groupBy("h1", "h2", "item_id").agg(F.sum("times").alias("n")).where(F.col("n") >= SHARED).drop("n")
     texts = docs.select("h1", "h2", "text").join(pairs.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
