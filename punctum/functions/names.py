@@ -14,10 +14,12 @@ def gene_key(name: Column) -> Column:
 def with_gene(df: DataFrame, panel: DataFrame, name: str, out: str = "gene_entry", how: str = "inner") -> DataFrame:
     """Adds to ``df`` the ``gene`` of ``panel`` that column ``name`` denotes.
 
-    ``how="inner"`` keeps only rows that denote an entry, ``"left"`` keeps all. The panel is a table of fixed size, so
+    ``how="inner"`` keeps only rows that denote an entry, ``"left"`` keeps all; a column ``out`` that is there is replaced. The panel is a table of fixed size, so
     Catalyst broadcasts it by its file size.
     """
     keys = panel.where("gene IS NOT NULL").groupBy(gene_key(F.col("gene")).alias("__gene_key")).agg(F.min("gene").alias(out))
+    if name != out:
+        df = df.drop(out)
     return df.withColumn("__gene_key", gene_key(F.col(name))).join(keys, "__gene_key", how).drop("__gene_key")
 
 

@@ -96,17 +96,19 @@ def points_in_spheres(
     a radius of 0 the points at the centre.
     """
     r = F.col(radius) if isinstance(radius, str) else F.lit(float(radius))
-    sides = []
-    for df, xyz, names, ident, also in ((points, point_xyz, ("px", "py", "pz"), F.col(point_id).alias("pid"), carry), (spheres, sphere_xyz, ("cx", "cy", "cz"), F.col(sphere_id).alias("sid"), ())):
-        more = [] if names[0] == "px" else [r.cast("double").alias("r")]
-        side = df.select(*keys, ident, *(F.col(c).cast("double").alias(n) for c, n in zip(xyz, names)), *more, *also)
-        for n in names:
-            side = side.where(finite(F.col(n)))
-        sides.append(side.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)) if keys else side)
-    pts, sph = sides
-    sph = sph.where(finite(F.col("r")) & (F.col("r") >= 0)).distinct()
-    inside = sphere_candidates(pts, sph, keys=list(keys), cell=cell).where(crossings_of_sphere() == 1)
-    return inside.select(F.col("sid").alias(sphere_id), F.col("pid").alias(point_id), *carry).distinct()
+    inner = [f"key_{i}" for i in range(len(keys))]
+    key_cols = [F.col(k).alias(n) for k, n in zip(keys, inner)]
+    xyz = lambda cols, names: [F.col(c).cast("double").alias(n) for c, n in zip(cols, names)]
+    pts = points.select(*key_cols, F.col(point_id).alias("pid"), *xyz(point_xyz, ("px", "py", "pz")), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
+    sph = spheres.select(*key_cols, F.col(sphere_id).alias("sid"), *xyz(sphere_xyz, ("cx", "cy", "cz")), r.cast("double").alias("r"))
+    for c in ("px", "py", "pz"):
+        pts = pts.where(finite(F.col(c)))
+    for c in ("cx", "cy", "cz", "r"):
+        sph = sph.where(finite(F.col(c)))
+    pts = pts.where(" AND ".join(f"{c} IS NOT NULL" for c in ("pid", *inner)))
+    sph = sph.where(" AND ".join(f"{c} IS NOT NULL" for c in ("sid", *inner))).where("r >= 0").distinct()
+    inside = sphere_candidates(pts, sph, keys=inner, cell=cell).where(crossings_of_sphere() == 1)
+    return inside.select(F.col("sid").alias(sphere_id), F.col("pid").alias(point_id), *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry))).distinct()
 
 
 def points_near_points(left: DataFrame, right: DataFrame, *, distance: float, left_id: str, right_id: str, left_xyz: Sequence[str], right_xyz: Sequence[str], keys: Sequence[str] = (), cell: float | None = None) -> DataFrame:
@@ -140,10 +142,12 @@ def points_in_regions(
     region cross it evenly anyway. Crossings are summed by point and region before the parity is taken. With
     ``boundary`` points on an edge are in, else they are out; parity never decides them.
     """
-    keys = list(keys)
+    inner = [f"key_{i}" for i in range(len(keys))]
+    key_cols = [F.col(k).alias(n) for k, n in zip(keys, inner)]
     coords = ("x1", "y1", "x2", "y2")
-    e = edges.select(*keys, F.col(region_id).alias("rid"), *(F.col(c).cast("double").alias(c) for c in coords)).distinct()
-    p = points.select(*keys, F.col(point_id).alias("pid"), *(F.col(c).cast("double").alias(n) for c, n in zip(point_xy, ("px", "py")))).distinct()
+    e = edges.select(*key_cols, F.col(region_id).alias("rid"), *(F.col(c).cast("double").alias(c) for c in coords)).where("rid IS NOT NULL").distinct()
+    p = points.select(*key_cols, F.col(point_id).alias("pid"), *(F.col(c).cast("double").alias(n) for c, n in zip(point_xy, ("px", "py")))).where("pid IS NOT NULL").distinct()
+    keys = inner
     for c in coords:
         e = e.where(finite(F.col(c)))
     p = p.where(finite(F.col("px")) & finite(F.col("py")))
