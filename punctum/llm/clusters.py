@@ -61,6 +61,10 @@ class Columns:
         self.sorted = self.key[self.order]
         self.block, self.xyz = block, xyz
 
+    def across_order(self) -> np.ndarray:
+        """Nodes by block, then by strips of y, then by x."""
+        return np.lexsort((self.xyz[:, 0], np.floor(self.xyz[:, 1] / self.eps2**0.5), self.block))
+
     def runs(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last place, in sorted order, of each node's three runs."""
         at = self.key[nodes][:, None] + np.array([-self.rows, 0, self.rows])
@@ -93,16 +97,18 @@ class Columns:
 def neighbour_descent(grid: Columns, k: int, rounds: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(index, squared distance) of about the ``k`` nearest nodes of the same block, by neighbour descent.
 
-    Starts from the nodes next in grid order and from random ones. Each round compares every node with the neighbours of
+    Starts from the nodes next in two grid orders, along y and along x, and from random ones. Each round compares every node with the neighbours of
     its neighbours and with nodes that have it as a neighbour, keeps the best ``k``, and ends when under one in a
     thousand changes. Free places have index -1.
     """
     n = len(grid.key)
     rng = np.random.default_rng(seed)
-    place = np.empty(n, np.int64)
-    place[grid.order] = np.arange(n)
     steps = [s for h in range(1, k // 2 + 2) for s in (-h, h)]
-    first = [grid.order[np.clip(place + s, 0, n - 1)] for s in steps] + [rng.integers(0, n, n)]
+    first = [rng.integers(0, n, n)]
+    for order in (grid.order, grid.across_order()):
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        first += [order[np.clip(place + s, 0, n - 1)] for s in steps]
     best = np.full((n, k), -1)
     dist = np.full((n, k), np.inf)
     cand = np.stack(first, axis=1)

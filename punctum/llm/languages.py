@@ -44,6 +44,7 @@ class LanguageParams:
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _LEAD = re.compile(r"^[\s>*+•·–—-]*(?:\(?\d{1,3}[.)]\s+)?")
 _HEADING = re.compile(r"^\s*(?:#{1,6}\s|={2,}\s*\S|\S.*\s={2,}\s*$)")
+_LIST = re.compile(r"^\s*[^\s,]+(?:,\s*[^\s,]+){3,}\s*$")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+|(?<=[。！？；])\s*")
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -59,9 +60,9 @@ def plain(text: str) -> str:
 
 
 def weight(text: str, p: LanguageParams) -> float:
-    """Length in words; characters of writing without spaces count ``passage`` for every ``han`` of them."""
+    """Length in words, numbers and names with digits left out; characters of writing without spaces count ``passage`` for every ``han`` of them."""
     han = len(_HAN.findall(text))
-    return len(_TOKEN.findall(_HAN.sub(" ", text))) + han * p.passage / p.han
+    return sum(not any(c.isdigit() for c in w) for w in _TOKEN.findall(_HAN.sub(" ", text))) + han * p.passage / p.han
 
 
 class _Wide(dict):
@@ -158,7 +159,7 @@ def units(text: str, p: LanguageParams) -> list[tuple[int, int, str]]:
             continue
         if fenced:
             continue
-        if _HEADING.match(line) or line.count("\t") >= 2 or line.count("|") >= 2:
+        if _HEADING.match(line) or _LIST.match(line) or line.count("\t") >= 2 or line.count("|") >= 2:
             flush()
             out.append((here, pos, ""))
             continue
@@ -176,6 +177,8 @@ def segments(text: str | None, classify: Classifier) -> list[tuple[int, int, str
     p = classify.p
     found = units(_TAG.sub("", text or ""), p)
     prose = [u for u in found if u[2]]
+    if not classify.codes:
+        return []
     sizes = [classify.sizes(u[2]) for u in prose]
     langs = iter(zip(cheapest(sizes, p.change), sizes))
     runs: list[list] = []
