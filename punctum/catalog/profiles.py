@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from punctum.catalog.base import granules, readings, sql, tiles
-from punctum.catalog.spatial import _SO, SUBTYPE, _C07, _D2, _INL, _soma, c07_half_open
+from punctum.catalog.spatial import _SO, _C07, _D2, _INL, _soma, c07_half_open, subtype_of
 from punctum.functions import columns as C
 from punctum.operators import embedding as E
 from punctum.operators.density import profile
@@ -19,7 +19,7 @@ _AT = {"keys": KEY, "centre_xy": ("global_x", "global_y"), "point_xy": ("sphere_
 
 
 def _kinds(spark, d):
-    return granules(spark, d).withColumn("subtype", SUBTYPE)
+    return granules(spark, d).withColumn("subtype", subtype_of())
 
 
 def _one_place(spark, d):

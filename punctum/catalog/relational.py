@@ -136,10 +136,10 @@ def b15_not_null(spark, d):
 
 
 def b16_local(spark, d):
-    w = Window.partitionBy("sample_id")
     r = readings(spark, d)
-    x, y = (F.col(c) - F.min(c).over(w) for c in ("global_x", "global_y"))
-    return r.select("tx_id", x.alias("local_x"), y.alias("local_y"), (x + F.min("global_x").over(w)).alias("global_x"))
+    least = r.groupBy("sample_id").agg(F.min("global_x").alias("x0"), F.min("global_y").alias("y0"))
+    at = r.join(least, "sample_id").withColumns({"local_x": F.col("global_x") - F.col("x0"), "local_y": F.col("global_y") - F.col("y0")})
+    return at.select("tx_id", "local_x", "local_y", (F.col("local_x") + F.col("x0")).alias("global_x"))
 
 
 def b17_seed_range(spark, d):

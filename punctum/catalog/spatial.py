@@ -182,12 +182,13 @@ def g07_area_density(spark, d):
     return t.join(g06_tile_granules(spark, d), "spot_id").where("brain_area IS NOT NULL").groupBy("brain_area").agg(r6(F.avg("n")).alias("density"), F.count(F.lit(1)).alias("n_spots"))
 
 
-SUBTYPE = F.when(F.col("comp") >= 3, "mixed").when(F.col("comp") == 2, "pair").otherwise("single")
+def subtype_of():
+    return F.when(F.col("comp") >= 3, "mixed").when(F.col("comp") == 2, "pair").otherwise("single")
 
 
 def _subtype_counts(spark, d):
     """Granules of each subtype in each tile with an area, zeros included, and of all subtypes together."""
-    g = granules(spark, d).withColumn("subtype", SUBTYPE)
+    g = granules(spark, d).withColumn("subtype", subtype_of())
     t = tiles(spark, d).where("brain_area IS NOT NULL").select("sample_id", "spot_id", "brain_area", "global_x", "global_y")
     hit = S.points_in_boxes(g, t, point_id="sphere_id", box_id="spot_id", width=50.0, edges="half", keys=KEY, point_xy=_GRXY, carry=["subtype"])
     n = hit.rollup("spot_id", "subtype").agg(F.count(F.lit(1)).alias("n")).where("spot_id IS NOT NULL").withColumn("subtype", F.coalesce("subtype", F.lit("overall")))

@@ -12,7 +12,7 @@ r6 = lambda c: F.round(c, 6)
 
 
 def f03_scaled(spark, d):
-    return granules(spark, d).select("sphere_id", r6(C.scaled(F.col("sphere_r"), ["gene"])).alias("scaled"))
+    return S.scaled(granules(spark, d), "sphere_r", ["gene"], "scaled").select("sphere_id", r6("scaled").alias("scaled"))
 
 
 def _usable(spark, d):
@@ -28,7 +28,7 @@ def f05_weighted_spearman(spark, d):
 
 
 def w06_ranks(spark, d):
-    return _usable(spark, d).select("sphere_id", S.average_rank("size", ["gene"]).alias("rank"))
+    return S.average_rank(_usable(spark, d), "size", ["gene"], "rank").select("sphere_id", "rank")
 
 
 def _p_values(spark, d):

@@ -12,12 +12,12 @@ from punctum.operators.stats import adjusted_rand, kmeans_labels, principal_comp
 from punctum.sources import table
 
 r6 = lambda c: F.round(c, 6)
-CATEGORY = F.when(F.col("gene") < "D", "pre").when(F.col("gene") < "H", "post").when(F.col("gene") < "R", "dendrite").otherwise("axon")
 _CATEGORY = "CASE WHEN gene < 'D' THEN 'pre' WHEN gene < 'H' THEN 'post' WHEN gene < 'R' THEN 'dendrite' ELSE 'axon' END"
 
 
 def _markers(spark, d):
-    return table(spark, d, "gene_panel").select("gene", CATEGORY.alias("category"))
+    category = F.when(F.col("gene") < "D", "pre").when(F.col("gene") < "H", "post").when(F.col("gene") < "R", "dendrite").otherwise("axon")
+    return table(spark, d, "gene_panel").select("gene", category.alias("category"))
 
 
 def _expr(spark, d):

@@ -43,13 +43,6 @@ def passes(in_soma: Column, nc_ratio: Column, in_soma_thr: float, nc_thr: float)
     return soma if nc_thr >= 1 else soma & ((nc_ratio == 0) | (nc_ratio < nc_thr))
 
 
-def scaled(v: Column, by: Sequence[str] = (), top: float = 1.0) -> Column:
-    """Min-max scaling to 0..top within ``by``; NULL where all values are equal."""
-    w = Window.partitionBy(*by)
-    lo, hi = F.min(v).over(w), F.max(v).over(w)
-    return (v - lo) / F.nullif(hi - lo, F.lit(0.0)) * top
-
-
 def proportion(v: Column, by: Sequence[str]) -> Column:
     """Share of ``v`` in the sum within ``by``, 0 where that is 0."""
     total = F.sum(v).over(Window.partitionBy(*by))

@@ -21,16 +21,28 @@ def weighted_corr(df: DataFrame, a: str, b: str, w: str, by: Sequence[str] = ())
     return s.select(*by, (cov / F.nullif(F.sqrt(vx * vy), F.lit(0.0))).alias("corr"))
 
 
-def average_rank(c: str | Column, by: Sequence[str] = ()) -> Column:
-    """Rank from 1, ties at the average of their places."""
-    value = F.col(c) if isinstance(c, str) else c
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2
+def scaled(df: DataFrame, c: str, by: Sequence[str], out: str, top: float = 1.0) -> DataFrame:
+    """``df`` with ``out``, the column ``c`` scaled to 0..top within ``by``; NULL where all values are equal."""
+    ends = df.groupBy(*by).agg(F.min(c).alias("__lo"), F.max(c).alias("__hi"))
+    joined = df.join(ends, list(by)) if by else df.crossJoin(ends)
+    return joined.withColumn(out, (F.col(c) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * top).drop("__lo", "__hi")
+
+
+def average_rank(df: DataFrame, c: str, by: Sequence[str], out: str) -> DataFrame:
+    """``df`` with ``out``, the rank of ``c`` from 1 within ``by``, ties at the average of their places.
+
+    Counts of the distinct values are accumulated, not rows ordered, so copies cost nothing. NULLs in ``by`` or ``c`` drop out.
+    """
+    k = list(by)
+    n = df.groupBy(*k, c).agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*k).orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+    n = n.withColumn(out, upto - F.col("__n") + (F.col("__n") + 1) / 2).drop("__n")
+    return df.join(n, [*k, c])
 
 
 def weighted_spearman(df: DataFrame, a: str, b: str, w: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, corr): ``weighted_corr`` of the average ranks."""
-    ranked = df.withColumns({"__ra": average_rank(a, by), "__rb": average_rank(b, by)})
+    ranked = average_rank(average_rank(df.select(*by, a, b, w), a, by, "__ra"), b, by, "__rb")
     return weighted_corr(ranked, "__ra", "__rb", w, by)
 
 
@@ -107,7 +119,7 @@ def t_test(df: DataFrame, value: Column, sample: str, first: str, second: str, b
 
 def rank_sum(df: DataFrame, value: str, sample: str, first: str, second: str, by: Sequence[str]) -> DataFrame:
     """(by, z, p): Wilcoxon rank-sum test of two samples, normal approximation without a tie correction."""
-    d = df.where(F.col(sample).isin(first, second)).withColumn("__rank", average_rank(value, by))
+    d = average_rank(df.where(F.col(sample).isin(first, second)), value, by, "__rank")
     one = F.col(sample) == first
     g = d.groupBy(*by).agg(F.sum(F.when(one, F.col("__rank"))).alias("s"), F.count(F.when(one, 1)).cast("double").alias("n1"), F.count(F.when(~one, 1)).cast("double").alias("n2"))
     n1, n2 = F.col("n1"), F.col("n2")

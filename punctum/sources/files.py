@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -57,14 +57,18 @@ def write_simulated(points: DataFrame, path: str, *, is_3d: bool, extra: Sequenc
 
 
 def tile_of(points: DataFrame, width: float, keys: Sequence[str] = (), x: str = "global_x", y: str = "global_y") -> DataFrame:
-    """``points`` with tile_row and tile_col, counted from the smallest position; the last tile takes the far edge in."""
-    w = Window.partitionBy(*keys)
-    out = points
+    """``points`` with tile_row and tile_col, counted from the smallest position; the last tile takes the far edge in.
+
+    Edges come from an aggregation, so no group of points is gathered. NULL keys drop out.
+    """
+    k = list(keys)
+    edges = points.groupBy(*k).agg(*(f(c).alias(f"__{n}_{c}") for c in (x, y) for n, f in (("lo", F.min), ("hi", F.max))))
+    out = points.join(edges, k) if k else points.crossJoin(edges)
     for name, c in (("tile_row", y), ("tile_col", x)):
-        lo, hi = F.min(c).over(w), F.max(c).over(w)
+        lo, hi = F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
         last = F.greatest(F.ceil((hi - lo) / width), F.lit(1)) - 1
         out = out.withColumn(name, F.least(F.floor((F.col(c) - lo) / width), last).cast("int"))
-    return out
+    return out.drop(*(f"__{n}_{c}" for c in (x, y) for n in ("lo", "hi")))
 
 
 def write_shards(df: DataFrame, path: str, by: Sequence[str]) -> str:
