@@ -6,8 +6,10 @@ compressed sizes is smallest, with a price on every change of language; neighbou
 segment, which is rejected if the margin to the next language is narrow. Headings, code, tables and lists of names
 are no units.
 
-A match of zstandard takes at least three bytes, four words of a language's commonest letters; so every character is
-written as three bytes, and a match is one of characters. This makes margins about ten times as wide.
+A match of zstandard takes at least three or four bytes, too long for the short common strings by which languages differ.
+So every character is written as several bytes, and the shortest match is one or two characters; the sizes of two such
+codings are added, as one level's parsing is noisy. Held-out lines without a run of three words in the dictionary are
+told right in 330 of 358 cases, against 300 with one coding at level 12.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from punctum.llm.words import MARKS
+from punctum.plans.spread import spread
+
 #: Labelled lines of a language that its dictionary holds at most.
 LINES = 2_000
 
@@ -29,16 +34,17 @@ LINES = 2_000
 @dataclass(frozen=True)
 class LanguageParams:
     """least, per_word: bytes, and bytes for each word, by which a segment must be smaller than in the next language;
-    change: price in bytes of a change of language; passage: words that a passage has at least; han:
-    characters of writing without spaces that weigh as much as a passage; longest: words of a unit; level: of compression."""
+    change: price in bytes of a change of language; passage: words that a passage has at least; han: characters of
+    writing without spaces that weigh as much as a passage; longest: words of a unit; codings: bytes for a
+    character and level of compression, of which the sizes are added."""
 
-    least: float = 8.0
-    per_word: float = 0.1
-    change: float = 10.0
+    least: float = 14.0
+    per_word: float = 0.2
+    change: float = 20.0
     passage: int = 8
     han: int = 15
     longest: int = 24
-    level: int = 12
+    codings: tuple[tuple[int, int], ...] = ((3, 3), (4, 3))
 
 
 _FENCE = re.compile(r"^\s*(```|~~~)")
@@ -48,6 +54,7 @@ _LIST = re.compile(r"^\s*[^\s,]+(?:,\s*[^\s,]+){3,}\s*$")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+|(?<=[。！？；])\s*")
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_DIGIT = re.compile(r"\d")
 _HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _BREAK = re.compile(r"(?<=\w)-[ \t]*\n[ \t>]*(?=[^\W\d_])")
@@ -55,30 +62,32 @@ _BREAK = re.compile(r"(?<=\w)-[ \t]*\n[ \t>]*(?=[^\W\d_])")
 
 def plain(text: str) -> str:
     """Lower case without accents, digits, words with digits, or punctuation, single spaces: what is compressed."""
-    text = "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if unicodedata.category(c) not in ("Mn", "Me", "Cf"))
-    return " ".join(w for w in _TOKEN.findall(_HAN.sub(lambda m: m.group(), text)) if not any(c.isdigit() for c in w) or _HAN.search(w))
+    text = text.casefold()
+    if not text.isascii():
+        text = MARKS.sub("", unicodedata.normalize("NFKD", text))
+    return " ".join(w for w in _TOKEN.findall(text) if not _DIGIT.search(w) or _HAN.search(w))
 
 
 def weight(text: str, p: LanguageParams) -> float:
     """Length in words, numbers and names with digits left out; characters of writing without spaces count ``passage`` for every ``han`` of them."""
     han = len(_HAN.findall(text))
-    return sum(not any(c.isdigit() for c in w) for w in _TOKEN.findall(_HAN.sub(" ", text))) + han * p.passage / p.han
+    return sum(not _DIGIT.search(w) for w in _TOKEN.findall(_HAN.sub(" ", text) if han else text)) + han * p.passage / p.han
 
 
 class _Wide(dict):
-    """Three bytes for each character."""
+    """So many bytes for each character, of which none tells the character."""
+
+    def __init__(self, width: int):
+        super().__init__()
+        self.width = width
 
     def __missing__(self, char: str) -> bytes:
-        self[char] = ((ord(char) * 2654435761 >> 3) & 0xFFFFFF).to_bytes(3, "big")
+        mixed = (ord(char) * 2654435761 * 6364136223846793005 + 1442695040888963407) & 0xFFFFFFFFFFFFFFFF
+        self[char] = (mixed >> 16).to_bytes(6, "big")[: self.width]
         return self[char]
 
-
-_WIDE = _Wide()
-
-
-def wide(text: str) -> bytes:
-    """``text`` with each character as three bytes, in which no byte tells the character."""
-    return b"".join([_WIDE[c] for c in text])
+    def __call__(self, text: str) -> bytes:
+        return b"".join([self[c] for c in text])
 
 
 class Classifier:
@@ -87,18 +96,25 @@ class Classifier:
     def __init__(self, samples: dict[str, list[str]], p: LanguageParams):
         self.p = p
         self.codes = sorted(samples)
-        self.compress = []
-        for code in self.codes:
-            raw = wide("\n".join(plain(t) for t in samples[code]))
-            params = zstandard.ZstdCompressionParameters.from_level(p.level, source_size=512, dict_size=len(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=params)
-            self.compress.append(zstandard.ZstdCompressor(compression_params=params, dict_data=d).compress)
+        self.codings = []
+        for width, level in p.codings:
+            wide, compress = _Wide(width), []
+            for code in self.codes:
+                raw = wide("\n".join(plain(t) for t in samples[code]))
+                params = zstandard.ZstdCompressionParameters.from_level(level, source_size=512, dict_size=max(len(raw), 64), write_content_size=False, write_checksum=False, write_dict_id=False)
+                d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(compression_params=params)
+                compress.append(zstandard.ZstdCompressor(compression_params=params, dict_data=d).compress)
+            self.codings.append((wide, compress))
 
     def sizes(self, text: str) -> list[int]:
         """Bytes of ``text`` in each language."""
-        data = wide(plain(text))
-        return [len(c(data)) for c in self.compress] if data else [0] * len(self.compress)
+        text, total = plain(text), [0] * len(self.codes)
+        if text:
+            for wide, compress in self.codings:
+                data = wide(text)
+                total = [t + len(c(data)) for t, c in zip(total, compress)]
+        return total
 
 
 def cheapest(sizes: list[list[int]], change: float) -> list[int]:
@@ -236,7 +252,7 @@ def with_segments(documents: DataFrame, samples: DataFrame, *, text: str = "text
     """``documents`` with the array column ``segments``: start, end, lang, confidence, words of each segment, in order.
 
     Dictionaries come from ``samples`` (lang, text), at most ``lines`` rows a language. The text column is read in the
-    same pass and may have any size; nothing is shuffled. A NULL or empty text has no segments.
+    same pass and may have any size; input that occupies the cluster isn't shuffled. A NULL or empty text has no segments.
     """
     from pyspark.sql import Window
 
@@ -256,7 +272,7 @@ def with_segments(documents: DataFrame, samples: DataFrame, *, text: str = "text
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(found, kind)], [*keep, "segments"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name != text)
-    return documents.mapInArrow(run, f"{schema}, segments {_SEGMENTS}")
+    return spread(documents).mapInArrow(run, f"{schema}, segments {_SEGMENTS}")
 
 
 def passages(documents: DataFrame, row_id: str = "doc_id", *, params: LanguageParams = LanguageParams()) -> DataFrame:

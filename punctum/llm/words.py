@@ -6,6 +6,8 @@ import html
 import re
 import unicodedata
 
+import regex
+
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 #: A word broken at a line end, with whatever marks a quoted or listed line at its start.
 _BROKEN = re.compile(r"(?<=\w)[-‐‑][ \t]*(?:\r\n|\r|\n)[ \t>|*#]*(?=\w)")
@@ -20,6 +22,8 @@ LOOKALIKES = str.maketrans(
     }
 )
 _MIXED = re.compile(r"[a-z]")
+#: Accents and invisible characters.
+MARKS = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}]+")
 
 
 def words(text: str | None) -> list[str]:
@@ -34,7 +38,7 @@ def words(text: str | None) -> list[str]:
         text = _TAG.sub("", html.unescape(text))
     text = _BROKEN.sub("", text)
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) not in ("Mn", "Me", "Cf"))
+        text = MARKS.sub("", unicodedata.normalize("NFKD", text))
         text = _BROKEN.sub("", text)
     text = _APOSTROPHE.sub("", text.casefold())
     found = _WORD.findall(text)
