@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctum.llm.words import words
+from punctum.plans.spread import spread
 
 #: Words of a passage that a case holds at least, and words for each of which one may be an edit.
 STRETCH, PER_EDIT = 15, 5
@@ -59,6 +60,11 @@ def template(ws: list[str], ordinary: frozenset[str]) -> list[str]:
     return [_NUMBER if w[0].isdigit() else _UNIT if w in UNITS else w if w in ordinary else _NAME for w in ws]
 
 
+#: Hashes of words kept in a worker between texts, at most about CODES.
+_CODES: dict[str, int] = {}
+CODES = 500_000
+
+
 def window_hashes(ws: list[str], ordinary: frozenset[str]) -> np.ndarray:
     """A 64-bit hash for each window of ``WINDOW`` words: of its template if that has two ordinary words, else of the words.
 
@@ -67,8 +73,9 @@ def window_hashes(ws: list[str], ordinary: frozenset[str]) -> np.ndarray:
     n = len(ws) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    seen: dict[str, int] = {}
-    code = lambda w: seen.get(w) or seen.setdefault(w, xxhash.xxh64_intdigest(w))
+    if len(_CODES) > CODES:
+        _CODES.clear()
+    code = lambda w: _CODES.get(w) or _CODES.setdefault(w, xxhash.xxh64_intdigest(w))
     ts = template(ws, ordinary)
     own, typed = np.array([code(w) for w in ws], np.uint64), np.array([code(t) for t in ts], np.uint64)
     plain = np.array([t[0] != "<" for t in ts], np.int8)
@@ -112,12 +119,19 @@ def holds_stretch(passage: np.ndarray, text: np.ndarray) -> bool:
     return False
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """True for the values in ``known``, which is sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _near(ts: np.ndarray, wanted: np.ndarray, reach: int) -> list[tuple[int, int]]:
     """Parts of a text, as (from, to), around ``SHARED`` of its windows that are in ``wanted`` and within ``reach`` of each other.
 
     Parts that touch are one; a stretch is in one of them, as it has so many shared windows itself.
     """
-    hits = np.flatnonzero(np.isin(ts, wanted))
+    hits = np.flatnonzero(_among(ts, np.unique(wanted)))
     ends = SHARED - 1
     close = np.flatnonzero(hits[ends:] - hits[: len(hits) - ends] <= reach)
     parts: list[tuple[int, int]] = []
@@ -186,7 +200,7 @@ def _text_windows(ordinary: frozenset[str], known: np.ndarray | None):
         for batch in batches:
             hashes = [np.unique(window_hashes(words(t), ordinary)) for t in batch["text"].to_pylist()]
             if known is not None:
-                hashes = [h[np.isin(h, known)] for h in hashes]
+                hashes = [h[_among(h, known)] for h in hashes]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in hashes])]), pa.int32())
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *hashes]), pa.int64())
             yield pa.RecordBatch.from_arrays([batch["h1"], batch["h2"], pa.ListArray.from_arrays(offsets, flat)], ["h1", "h2", "hashes"])
@@ -239,7 +253,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, row_id: str = "doc_i
 
     docs = documents.select(F.col(row_id).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL AND length(text) > 0")
     docs = docs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), F.col("text"))})
-    found = docs.select("h1", "h2", "text").mapInArrow(_text_windows(ordinary, sift), "h1 long, h2 long, hashes array<long>")
+    found = spread(docs.select("h1", "h2", "text")).mapInArrow(_text_windows(ordinary, sift), "h1 long, h2 long, hashes array<long>")
     found = found.select("h1", "h2", F.explode("hashes").alias("hash")).join(windows, "hash").distinct()
     pairs = found.groupBy("h1", "h2", "item_id").agg(F.sum("times").alias("n")).where(F.col("n") >= SHARED).drop("n")
     texts = docs.select("h1", "h2", "text").join(pairs.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
