@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctum.plans.shared import written_once
+from punctum.plans.spread import spread
 
 #: Bytes that the rolling hash sees.
 WINDOW = 16
@@ -218,7 +219,7 @@ def encode_corpus(documents: DataFrame, *, row_id: str = "doc_id", text: str = "
     rows = documents.select(F.col(row_id).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("uid"))
     rows = written_once(rows, "texts")
     full = rows.where("text IS NOT NULL AND text <> ''")
-    chunks = full.select("uid", "text").mapInArrow(_chunk_rows, "uid long, no int, chunk string")
+    chunks = spread(full.select("uid", "text")).mapInArrow(_chunk_rows, "uid long, no int, chunk string")
     chunks = chunks.withColumns({"h1": F.xxhash64("chunk"), "h2": F.xxhash64(F.lit(1), F.col("chunk"))})
     chunks = written_once(chunks, "chunks")
     once = chunks.select("h1", "h2", "chunk").distinct()

@@ -43,7 +43,7 @@ class LanguageParams:
     change: float = 20.0
     passage: int = 8
     han: int = 15
-    longest: int = 24
+    longest: int = 16
     codings: tuple[tuple[int, int], ...] = ((3, 3), (4, 3))
 
 
@@ -51,7 +51,7 @@ _FENCE = re.compile(r"^\s*(```|~~~)")
 _LEAD = re.compile(r"^[\s>*+•·–—-]*(?:\(?\d{1,3}[.)]\s+)?")
 _HEADING = re.compile(r"^\s*(?:#{1,6}\s|={2,}\s*\S|\S.*\s={2,}\s*$)")
 _LIST = re.compile(r"^\s*[^\s,]+(?:,\s*[^\s,]+){3,}\s*$")
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+|(?<=[。！？；])\s*")
+_SENTENCE = re.compile(r"\n|(?<=[.!?…])[\"'”»)]*\s+|(?<=[。！？；])\s*")
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _DIGIT = re.compile(r"\d")
@@ -146,7 +146,10 @@ def units(text: str, p: LanguageParams) -> list[tuple[int, int, str]]:
     def flush() -> None:
         if not prose:
             return
-        start, joined = prose[0][0], " ".join(_LEAD.sub("", t, count=1) for _, t in prose)
+        start, joined = prose[0][0], _LEAD.sub("", prose[0][1], count=1)
+        for _, t in prose[1:]:
+            t = _LEAD.sub("", t, count=1)  # a line that goes on in lower case is wrapped; any other begins a sentence
+            joined += (" " if t[:1].islower() else "\n") + t
         end = prose[-1][0] + len(prose[-1][1])
         prose.clear()
         for sentence in _SENTENCE.split(joined):
