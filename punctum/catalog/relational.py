@@ -243,6 +243,12 @@ def w09_least_gap(spark, d):
     return z.withColumn("gap", gap).groupBy("sample_id").agg(F.min("gap").alias("least_gap"))
 
 
+def w11_permuted(spark, d):
+    """Cells in an order that a seed fixes: by a hash of seed and id."""
+    c = cells(spark, d).where("cell_id IS NOT NULL").select("cell_id").distinct()
+    return c.withColumn("key", F.xxhash64(F.lit(7), F.col("cell_id"))).orderBy("key", "cell_id").select("cell_id")
+
+
 def w12_sorted(spark, d):
     return readings(spark, d).groupBy("sample_id", "target").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("target"))
 
@@ -270,6 +276,14 @@ def s03_gene_sets(spark, d):
     return both.unionByName(a.union(b).distinct().select("gene", F.lit("any").alias("kind")))
 
 
+def s04_ordered_shared(spark, d):
+    """Panel genes, in panel order by name, that both of two samples have."""
+    r = readings(spark, d)
+    have = [r.where(F.col("sample_id") == s).select(F.col("target").alias("gene")).distinct() for s in ("S0003", "S0004")]
+    panel = table(spark, d, "negative_controls").select("gene").distinct()
+    return panel.join(have[0], "gene", "left_semi").join(have[1], "gene", "left_semi").orderBy("gene")
+
+
 def s05_missing_ids(spark, d):
     seen = readings(spark, d).select("cell_id").distinct()
     known = cells(spark, d).select("cell_id").distinct()
@@ -339,6 +353,8 @@ SELECT cell_id, CASE greatest(a, b, c, d, e) WHEN a THEN 0 WHEN b THEN 1 WHEN c
     "w08_high_flag": sql("""q AS (SELECT gene, quantile_cont(sphere_r, 0.9) AS q FROM gr WHERE sample_id = 'S0001' GROUP BY gene)
 SELECT sphere_id, CASE WHEN sphere_r > q THEN 1 ELSE 0 END AS high FROM gr JOIN q ON gr.gene = q.gene WHERE sample_id <> 'S0001'"""),
     "w09_least_gap": sql("SELECT sample_id, min(gap) AS least_gap FROM (SELECT sample_id, z - lag(z) OVER (PARTITION BY sample_id ORDER BY z) AS gap FROM (SELECT DISTINCT sample_id, global_z AS z FROM tx)) GROUP BY sample_id"),
+    "w11_permuted": sql("SELECT DISTINCT cell_id FROM ce WHERE cell_id IS NOT NULL"),
+    "s04_ordered_shared": sql("SELECT DISTINCT gene FROM negative_controls WHERE gene IN (SELECT target FROM tx WHERE sample_id = 'S0003') AND gene IN (SELECT target FROM tx WHERE sample_id = 'S0004')"),
     "w12_sorted": sql("SELECT sample_id, target, count(*) AS n FROM tx GROUP BY ALL ORDER BY n DESC, target DESC"),
     "w13_distinct_places": sql("SELECT sample_id, count(*) AS n_places FROM (SELECT DISTINCT sample_id, global_x, global_y, global_z FROM tx) GROUP BY sample_id"),
     "s01_appended": sql("SELECT gene, count(*) AS n, count(r) AS n_spheres FROM (SELECT gene, sphere_r AS r FROM gr UNION ALL SELECT target, NULL FROM tx) GROUP BY gene"),

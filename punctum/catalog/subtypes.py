@@ -28,6 +28,11 @@ def _scores(spark, d):
     return T.category_scores(_expr(spark, d), granules(spark, d).select("sphere_id"), _markers(spark, d), "sphere_id")
 
 
+def n02_standard_scores(spark, d):
+    z = T.standard_scores(_expr(spark, d), granules(spark, d).select("sphere_id"), "sphere_id")
+    return z.select("sphere_id", "target", r6("z").alias("z"))
+
+
 def n04_scores(spark, d):
     return _scores(spark, d).select("sphere_id", *(r6(c).alias(c) for c in T.PARTS))
 
@@ -102,6 +107,7 @@ zz AS (SELECT cluster, gene, CASE WHEN stddev_pop(mean) OVER w > 0 THEN (mean -
 cs AS MATERIALIZED (SELECT cluster, coalesce(sum(z) FILTER (category = 'pre'), 0) AS pre, coalesce(sum(z) FILTER (category = 'post'), 0) AS post, coalesce(sum(z) FILTER (category = 'dendrite'), 0) AS dendrite, coalesce(sum(z) FILTER (category = 'axon'), 0) AS axon FROM zz JOIN mk ON zz.gene = mk.gene GROUP BY cluster)"""
 
 SQL = {
+    "n02_standard_scores": sql(f"{_SC} SELECT pf.sphere_id, pf.gene AS target, round(CASE WHEN sd > 0 THEN (pf.n - mean) / sd ELSE 0 END, 6) AS z FROM pf JOIN st ON pf.gene = st.gene"),
     "n04_scores": sql(f"{_SC} SELECT sphere_id, round(pre, 6) AS pre, round(post, 6) AS post, round(dendrite, 6) AS dendrite, round(axon, 6) AS axon FROM sr"),
     "n05_subtypes": sql(f"{_SC} SELECT sphere_id, subtype, {_SIMPLE} AS subtype_simple FROM {_label('sr')}"),
     "n03_cluster_scores": sql(f"{_CL} SELECT cluster, round(pre, 6) AS pre, round(post, 6) AS post, round(dendrite, 6) AS dendrite, round(axon, 6) AS axon FROM cs"),

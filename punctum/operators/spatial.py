@@ -143,6 +143,24 @@ def grid_counts(points: DataFrame, width: float, keys: Sequence[str] = ()) -> Da
     return out.select(*keys, (F.col("ix") * F.col("ny") + F.col("iy")).alias("spot"), (F.col("x0") + (F.col("ix") + 0.5) * width).alias("global_x"), (F.col("y0") + (F.col("iy") + 0.5) * width).alias("global_y"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def density_maxima(points: DataFrame, width: float, keys: Sequence[str], *, sigma: float, least: float) -> DataFrame:
+    """(keys, ix, iy, density): grid cells whose smoothed density reaches ``least`` and is the greatest of the 3 x 3 around them.
+
+    Counts are smoothed with a Gaussian of ``sigma`` cells over two cells to each side. Of equal neighbours the one
+    first in (ix, iy) stays. Only occupied cells and their neighbours are ever formed.
+    """
+    k = list(keys)
+    n = points.groupBy(*k, F.floor(F.col("global_x") / width).alias("ix"), F.floor(F.col("global_y") / width).alias("iy")).agg(F.count(F.lit(1)).alias("n"))
+    around = lambda r: F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-r, r + 1) for j in range(-r, r + 1)))
+    w = F.exp(-(F.col("o.i") * F.col("o.i") + F.col("o.j") * F.col("o.j")) / (2.0 * sigma * sigma))
+    smooth = n.withColumn("o", F.explode(around(2))).select(*k, (F.col("ix") + F.col("o.i")).alias("ix"), (F.col("iy") + F.col("o.j")).alias("iy"), (F.col("n") * w).alias("v"))
+    smooth = smooth.groupBy(*k, "ix", "iy").agg(F.round(F.sum("v"), 9).alias("density"))
+    best = smooth.withColumn("o", F.explode(around(1))).select(*k, (F.col("ix") + F.col("o.i")).alias("ix"), (F.col("iy") + F.col("o.j")).alias("iy"), F.struct("density", (-F.col("o.i")).alias("i"), (-F.col("o.j")).alias("j")).alias("s"))
+    # seen from a cell, a neighbour lies at -o; the greatest density wins, then the first neighbour
+    best = best.groupBy(*k, "ix", "iy").agg(F.max(F.struct(F.col("s.density").alias("density"), (-F.col("s.i")).alias("i"), (-F.col("s.j")).alias("j"))).alias("b"))
+    return best.where("b.i = 0 AND b.j = 0 AND b.density >= " + repr(float(least))).select(*k, "ix", "iy", F.col("b.density").alias("density"))
+
+
 def subdivided(tiles: DataFrame, *, tile_id: str, width: float, into: float) -> DataFrame:
     """Each tile cut into four of half the width, numbered q0 to q3 along x first."""
     h = into / 2

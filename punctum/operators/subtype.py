@@ -41,6 +41,19 @@ def category_scores(expr: DataFrame, ids: DataFrame, markers: DataFrame, row_id:
     return score.groupBy(row_id).pivot("category", list(PARTS)).agg(F.sum("score")).fillna(0.0)
 
 
+def standard_scores(expr: DataFrame, ids: DataFrame, row_id: str) -> DataFrame:
+    """(row_id, target, z) of every positive entry: its standard score over all rows of ``ids``, absent entries counted as 0.
+
+    The population's spread is used; a gene that doesn't vary has 0. Absent entries have the same score in all rows, which
+    is left out.
+    """
+    n_rows = ids.agg(F.count(F.lit(1)).cast("double").alias("N"))
+    sums = expr.groupBy("target").agg(F.sum("n").cast("double").alias("s"), F.sum(F.col("n") * F.col("n")).cast("double").alias("q")).crossJoin(n_rows)
+    mean = F.col("s") / F.col("N")
+    stat = sums.select("target", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("N") - mean * mean, F.lit(0.0))).alias("sd"))
+    return expr.join(stat, "target").select(row_id, "target", F.when(F.col("sd") > 0, (F.col("n") - F.col("mean")) / F.col("sd")).otherwise(0.0).alias("z"))
+
+
 def cluster_scores(expr: DataFrame, members: DataFrame, genes: DataFrame, markers: DataFrame, row_id: str, cluster: str) -> DataFrame:
     """(cluster, pre, post, dendrite, axon) from cluster means, standardised within each cluster across all ``genes``."""
     size = members.groupBy(cluster).agg(F.count(F.lit(1)).cast("double").alias("size"))
