@@ -1,9 +1,10 @@
 """Pairwise matches consolidated into groups: the connected components of the graph of matches.
 
-Minimum labels go across edges: every node points to the smallest node next to it. Pointer jumping then shortens all
-chains of pointers to their roots, and the graph is contracted to the roots, until no edge is left, that is, until no
-label changes. Each round at least halves the nodes that still have edges. Every step ends in a table in the shared
-folder, so a lost executor costs at most one step.
+Minimum labels go across edges: every node points to the smallest node next to it. Two pointer jumps take it four nodes
+up its chain of pointers, and the graph is contracted to the nodes reached, until no edge is left, that is, until no
+label changes. A chain that is longer stays connected, as the edges along it are contracted too; the smallest node of a
+group points to itself throughout and is its last one. Each round at least halves the nodes that still have edges. Every
+step ends in a table in the shared folder, so a lost executor costs at most one step.
 """
 
 from __future__ import annotations
@@ -24,33 +25,29 @@ def connected_groups(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
-    while labels is None or not edges.isEmpty():
+    steps: list[DataFrame] = []
+    while not steps or not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")))
-        moved = True
-        while moved:
-            up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            once = parent.join(up, "root").select("node", "root", "above")
-            top = up.select(F.col("root").alias("above"), F.col("above").alias("top"))
-            jumped = cut(once.join(top, "above").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
-            moved = not jumped.where("moved").isEmpty()
-            forget(parent)
-            parent = jumped
-        parent = parent.drop("moved")
-        at = lambda name: parent.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+        jumped = cut(_jumped(_jumped(parent)))
+        forget(parent)
+        at = lambda name: jumped.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
         apart = edges.join(at("a"), "a").join(at("b"), "b").where("root_a <> root_b")
         contracted = cut(apart.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
         forget(edges)
         edges = contracted
-        if labels is None:
-            labels = parent
-        else:
-            step = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            relabelled = cut(labels.join(step, "root", "left").select("node", F.coalesce("above", "root").alias("root")))
-            forget(labels, parent)
-            labels = relabelled
-    return labels
+        steps.append(jumped)
+    labels = steps[0]
+    for step in steps[1:]:
+        up = step.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        labels = labels.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+    return cut(labels)
+
+
+def _jumped(parent: DataFrame) -> DataFrame:
+    """Every node with the root of its root."""
+    up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
+    return parent.join(up, "root").select("node", F.col("above").alias("root"))
 
 
 def matched_spheres(spheres: DataFrame, *, distance: float) -> tuple[DataFrame, DataFrame]:
