@@ -32,8 +32,6 @@ LEAST, BITS, MOST = 64, 8, 4096
 #: A word that ends so many characters before the end of what is known doesn't depend on what follows: the longest
 #: fixed word of the pattern has three characters, and runs look one character ahead.
 AHEAD = 4
-#: Word starts of a chunk at which the reading before it may meet it; its last one comes besides.
-STARTS = 12
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -70,7 +68,7 @@ def chunk_ends(data: bytes) -> list[int]:
 
 @lru_cache(maxsize=4)
 def _encoder(vocabulary: str):
-    """(encode, word pattern) of a rank file; the pattern is the one that its package names."""
+    """(encode, word pattern, decode to bytes) of a rank file; the pattern is the one that its package names."""
     import regex
     import tiktoken
 
@@ -78,7 +76,7 @@ def _encoder(vocabulary: str):
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return encoding.encode_ordinary, regex.compile(pattern)
+    return encoding.encode_ordinary, regex.compile(pattern), encoding.decode_bytes
 
 
 def default_vocabulary() -> str:
@@ -89,66 +87,64 @@ class Joiner:
     """Puts the ids of a text's chunks together."""
 
     def __init__(self, vocabulary: str):
-        self.encode, self.word = _encoder(vocabulary)
-
-    def pieces(self, words: list[str]) -> list[int]:
-        """Ids of words that the pattern found: each on its own, as a run of white space cut short would be split anew."""
-        out: list[int] = []
-        for w in words:
-            out += self.encode(w)
-        return out
-
-    def marks(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:
-        """Word starts of ``text`` that are certain if it begins at a word start, and the number of its ids before each.
-
-        Only the first starts and the last one are needed.
+        self.encode, self.word, self.bytes_of = _encoder(vocabulary)
+
+    def last_start(self, text: str, ids: list[int]) -> tuple[int, int]:
+        """The last word start of ``text`` that is certain if it begins at one, and the number of its ids before it; -1 if there is none."""
+        last = -1
+        for m in self.word.finditer(text):
+            if m.start() > len(text) - AHEAD:
+                break
+            last = m.start()
+        return (last, len(ids) - len(self.encode(text[last:]))) if last >= 0 else (-1, 0)
+
+    def _meet(self, known: str, size: int, text: str, last: int) -> tuple[list[str], int, int | None, int]:
+        """Reads ``known``, of which ``text`` begins at ``size``, and ``text`` itself word by word until both have a word start in common.
+
+        Gives the words of ``known`` before it and where they end, and the common start in ``text`` (None if there is none up to
+        ``last``) with the number of ids before it.
         """
-        words = [(m.start(), m.group()) for m in self.word.finditer(text)]
-        words = [w for w in words if w[0] <= len(text) - AHEAD]
-        starts, counts, n = [], [], 0
-        for s, w in words[:STARTS]:
-            starts.append(s)
-            counts.append(n)
-            n += len(self.encode(w))
-        if len(words) > STARTS:
-            starts.append(words[-1][0])
-            counts.append(len(ids) - len(self.encode(text[starts[-1] :])))
-        return starts, counts
+        words, at, n = [], 0, 0
+        own = self.word.finditer(text)
+        mine = next(own, None)
+        for m in self.word.finditer(known):
+            while mine is not None and mine.start() + size < m.start():
+                n += len(self.encode(mine.group()))
+                mine = next(own, None)
+            if mine is not None and mine.start() + size == m.start() and mine.start() <= last:
+                return words, at, mine.start(), n
+            if m.end() > len(known) - AHEAD:
+                break
+            at = m.end()
+            words.append(m.group())
+        return words, at, None, 0
 
     def join(self, chunks: list) -> list[int]:
-        """Ids of the text made of ``chunks``: (text, its ids, certain word starts, ids before each)."""
+        """Ids of the text made of ``chunks``: (ids, last certain word start, ids before it) of each.
+
+        Ids decode to the chunk's text exactly. Words are encoded each on its own, as a run of white space cut short
+        would be split anew.
+        """
         out: list[int] = []
         pending: list[str] = []  # text from the last certain word start on
         size, tried = 0, 0
-        for k, (text, ids, starts, counts) in enumerate(chunks):
-            if k == 0:
-                sync = 0 if starts else None
-            else:
-                sync = None
-                if size + len(text) >= 2 * tried:
-                    known = "".join(pending) + text
-                    at, found, words = 0, set(starts), []
-                    for m in self.word.finditer(known):
-                        if m.start() - size in found:
-                            sync = m.start() - size
-                            break
-                        if m.end() > len(known) - AHEAD:
-                            break
-                        at = m.end()
-                        words.append(m.group())
-                    out += self.pieces(words)
-                    if sync is None:
-                        pending, size = [known[at:]], len(known) - at
-                        tried = size if size > 4 * MOST else 0
-                else:
-                    pending.append(text)
-                    size += len(text)
+        for k, (ids, last, before_last) in enumerate(chunks):
+            text = self.bytes_of(ids).decode()
+            sync, before = (0, 0) if k == 0 and last >= 0 else (None, 0)
+            if k and size + len(text) >= 2 * tried:
+                known = "".join(pending) + text
+                words, at, sync, before = self._meet(known, size, text, last)
+                for w in words:
+                    out += self.encode(w)
+                if sync is None:
+                    pending, size = [known[at:]], len(known) - at
+                    tried = size if size > 4 * MOST else 0
+            elif sync is None:
+                pending.append(text)
+                size += len(text)
             if sync is not None:
-                before = counts[starts.index(sync)]
-                out += ids[before : counts[-1]]
-                pending, size, tried = [text[starts[-1] :]], len(text) - starts[-1], 0
-            elif k == 0:
-                pending, size = [text], len(text)
+                out += ids[before:before_last]
+                pending, size, tried = [text[last:]], len(text) - last, 0
         out += self.encode("".join(pending))
         return out
 
@@ -171,13 +167,12 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _encode_rows(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joiner = Joiner(vocabulary)
-        ints = pa.list_(pa.int32())
         for batch in batches:
             chunk = batch["chunk"].to_pylist()
             ids = [joiner.encode(t) for t in chunk]
-            marks = [joiner.marks(t, i) for t, i in zip(chunk, ids)]
-            columns = [batch["h1"], batch["h2"], batch["chunk"], pa.array(ids, ints), pa.array([s for s, _ in marks], ints), pa.array([c for _, c in marks], ints)]
-            yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "chunk", "ids", "starts", "counts"])
+            last = [joiner.last_start(t, i) for t, i in zip(chunk, ids)]
+            columns = [batch["h1"], batch["h2"], pa.array(ids, pa.list_(pa.int32())), pa.array([a for a, _ in last], pa.int32()), pa.array([b for _, b in last], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "ids", "last", "before"])
 
     return run
 
@@ -190,7 +185,7 @@ def _join_rows(vocabulary: str):
         current, parts = None, []
         for batch in batches:
             uids, ids = [], []
-            for uid, *part in zip(*(batch[c].to_pylist() for c in ("uid", "chunk", "ids", "starts", "counts"))):
+            for uid, *part in zip(*(batch[c].to_pylist() for c in ("uid", "ids", "last", "before"))):
                 if uid != current and parts:
                     uids.append(current)
                     ids.append(joiner.join(parts))
@@ -223,9 +218,9 @@ def encode_corpus(documents: DataFrame, *, row_id: str = "doc_id", text: str = "
     chunks = chunks.withColumns({"h1": F.xxhash64("chunk"), "h2": F.xxhash64(F.lit(1), F.col("chunk"))})
     chunks = written_once(chunks, "chunks")
     once = chunks.select("h1", "h2", "chunk").distinct()
-    encoded = once.mapInArrow(_encode_rows(vocabulary), "h1 long, h2 long, chunk string, ids array<int>, starts array<int>, counts array<int>")
+    encoded = once.mapInArrow(_encode_rows(vocabulary), "h1 long, h2 long, ids array<int>, last int, before int")
     parts = chunks.select("uid", "no", "h1", "h2").join(encoded, ["h1", "h2"])
-    ordered = parts.repartition("uid").sortWithinPartitions("uid", "no").select("uid", "chunk", "ids", "starts", "counts")
+    ordered = parts.repartition("uid").sortWithinPartitions("uid", "no").select("uid", "ids", "last", "before")
     ids = ordered.mapInArrow(_join_rows(vocabulary), "uid long, ids array<int>")
     empty = F.array().cast("array<int>")
     return rows.select("id", "uid").join(ids, "uid", "left").select(F.col("id").alias(row_id), F.coalesce("ids", empty).alias("ids"))

@@ -17,9 +17,9 @@ def joined(joiner, text):
     for end in chunk_ends(data):
         t = data[start:end].decode()
         ids = joiner.encode(t)
-        parts.append((t, ids, *joiner.marks(t, ids)))
+        parts.append((ids, *joiner.last_start(t, ids)))
         start = end
-    assert "".join(p[0] for p in parts) == text
+    assert b"".join(joiner.bytes_of(p[0]) for p in parts) == data
     return joiner.join(parts)
 
 
