@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,8 @@ from punctum.plans.spread import spread
 
 #: Labelled lines of a language that its dictionary holds at most.
 LINES = 2_000
+#: Least share of letters in a dictionary's script for which it is tried.
+OTHER_SCRIPT = 0.1
 
 
 @dataclass(frozen=True)
@@ -90,12 +93,30 @@ class _Wide(dict):
         return b"".join([self[c] for c in text])
 
 
+class _Scripts(dict):
+    """The script of each character, by the first word of its name; "" for what is no letter."""
+
+    def __missing__(self, char: str) -> str:
+        self[char] = unicodedata.name(char, "").partition(" ")[0] if char.isalpha() else ""
+        return self[char]
+
+    def shares(self, text: str) -> dict[str, float]:
+        """Scripts of the letters of ``text``, with their shares."""
+        n = Counter(map(self.__getitem__, text))
+        n.pop("", None)
+        total = sum(n.values())
+        return {k: v / total for k, v in n.items()}
+
+
 class Classifier:
     """Compressed sizes with the languages' dictionaries."""
 
     def __init__(self, samples: dict[str, list[str]], p: LanguageParams):
         self.p = p
         self.codes = sorted(samples)
+        self.scripts = _Scripts()
+        shares = [self.scripts.shares(plain(" ".join(samples[c]))) for c in self.codes]
+        self.script = [max(s, key=s.get) if s else "" for s in shares]
         self.codings = []
         for width, level in p.codings:
             wide, compress = _Wide(width), []
@@ -108,12 +129,18 @@ class Classifier:
             self.codings.append((wide, compress))
 
     def sizes(self, text: str) -> list[int]:
-        """Bytes of ``text`` in each language."""
+        """Bytes of ``text`` in each language.
+
+        A dictionary in another script than nearly all of the text finds nothing in it, so the text isn't compressed with it
+        and has its full size there.
+        """
         text, total = plain(text), [0] * len(self.codes)
         if text:
+            found = self.scripts.shares(text)
+            tried = [found.get(s, 0.0) >= OTHER_SCRIPT for s in self.script]
             for wide, compress in self.codings:
                 data = wide(text)
-                total = [t + len(c(data)) for t, c in zip(total, compress)]
+                total = [t + (len(c(data)) if go else len(data)) for t, c, go in zip(total, compress, tried)]
         return total
 
 
