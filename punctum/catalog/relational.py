@@ -175,7 +175,7 @@ def g13_quantiles(spark, d):
 
 
 def g14_summary(spark, d):
-    return granules(spark, d).groupBy("sample_id").agg(r6(F.avg("in_soma_ratio")).alias("mean_in_soma"), F.median("size").alias("median_size"), r6(F.avg(F.nanvl("nc_ratio", F.lit(None)))).alias("mean_nc"))
+    return granules(spark, d).groupBy("sample_id").agg(F.round(F.avg("in_soma_ratio"), 9).alias("mean_in_soma"), F.median("size").alias("median_size"), F.round(F.avg(F.nanvl("nc_ratio", F.lit(None))), 9).alias("mean_nc"))
 
 
 def g15_group_means(spark, d):
@@ -334,7 +334,7 @@ SELECT p.tx_id, CASE WHEN m.z IS NULL THEN 0 ELSE 1 END AS inside FROM p LEFT JO
     "g04_histogram": sql("SELECT sample_id, CAST(floor(global_x / 20) AS BIGINT) AS ix, CAST(floor(global_y / 20) AS BIGINT) AS iy, count(*) AS n FROM tx GROUP BY ALL"),
     "g12_spread": sql("SELECT gene, round(stddev_samp(sphere_r), 6) AS sd, count(*) AS n, round(stddev_samp(sphere_r) / sqrt(count(*)), 6) AS sem FROM gr GROUP BY gene HAVING count(*) > 1"),
     "g13_quantiles": sql("SELECT gene, round(avg(sphere_r), 6) AS mean, round(quantile_cont(sphere_r, 0.25), 6) AS q25, round(quantile_cont(sphere_r, 0.5), 6) AS q50, round(quantile_cont(sphere_r, 0.75), 6) AS q75 FROM gr GROUP BY gene"),
-    "g14_summary": sql("SELECT sample_id, round(avg(in_soma_ratio), 6) AS mean_in_soma, median(size) AS median_size, round(avg(CASE WHEN isnan(nc_ratio) THEN NULL ELSE nc_ratio END), 6) AS mean_nc FROM gr GROUP BY sample_id"),
+    "g14_summary": sql("SELECT sample_id, round(avg(in_soma_ratio), 9) AS mean_in_soma, median(size) AS median_size, round(avg(CASE WHEN isnan(nc_ratio) THEN NULL ELSE nc_ratio END), 9) AS mean_nc FROM gr GROUP BY sample_id"),
     "g15_group_means": sql("SELECT target, round(avg(n), 6) AS mean_n, count(*) AS n_cells FROM (SELECT cell_id, target, count(*) AS n FROM tx WHERE cell_id IS NOT NULL GROUP BY ALL) GROUP BY target"),
     "g16_seed_means": f"SELECT scenario, round(avg(n), 6) AS mean_points, count(*) AS n_seeds FROM (SELECT sc AS scenario, sd, count(DISTINCT point_no) AS n FROM {_SIM} WHERE sd IS NOT NULL GROUP BY ALL) GROUP BY scenario",
     "g17_gyration": f"""SELECT scenario, seed, granule_id, round(sqrt(var_pop(x) + var_pop(y) + var_pop(z)), 6) AS radius, count(*) AS n FROM

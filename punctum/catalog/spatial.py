@@ -174,7 +174,7 @@ def g06_tile_granules(spark, d):
     mean = lambda c: F.avg(F.nanvl(F.col(c), F.lit(None).cast("double")))
     a = hit.groupBy("spot_id").agg(F.count(F.lit(1)).alias("n"), *(mean(c).alias(c) for c in ("sphere_r", "size", "in_soma_ratio")))
     t = tiles(spark, d).select("spot_id").join(a, "spot_id", "left")
-    return t.select("spot_id", F.coalesce("n", F.lit(0)).alias("n"), *(r6(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("sphere_r", "size", "in_soma_ratio")))
+    return t.select("spot_id", F.coalesce("n", F.lit(0)).alias("n"), *(F.round(F.coalesce(c, F.lit(0.0)), 9).alias(c) for c in ("sphere_r", "size", "in_soma_ratio")))
 
 
 def g07_area_density(spark, d):
@@ -257,7 +257,7 @@ sc AS (SELECT sp.sample_id, sp.spot_id, sp.brain_area, k.subtype, coalesce(subn.
  LEFT JOIN subn ON subn.spot_id = sp.spot_id AND subn.subtype = k.subtype WHERE sp.brain_area IS NOT NULL)"""
 _G06 = f"""h AS (SELECT c.spot_id, count(*) AS n, avg(CASE WHEN isnan(g.sphere_r) THEN NULL ELSE g.sphere_r END) AS r, avg(CASE WHEN isnan(g.size) THEN NULL ELSE g.size END) AS s, avg(CASE WHEN isnan(g.in_soma_ratio) THEN NULL ELSE g.in_soma_ratio END) AS i
  FROM ({_C07}) c JOIN gr g ON c.sphere_id = g.sphere_id GROUP BY c.spot_id),
-tg AS (SELECT sp.spot_id, sp.brain_area, coalesce(n, 0) AS n, round(coalesce(r, 0), 6) AS sphere_r, round(coalesce(s, 0), 6) AS size, round(coalesce(i, 0), 6) AS in_soma_ratio FROM sp LEFT JOIN h ON sp.spot_id = h.spot_id)"""
+tg AS (SELECT sp.spot_id, sp.brain_area, coalesce(n, 0) AS n, round(coalesce(r, 0), 9) AS sphere_r, round(coalesce(s, 0), 9) AS size, round(coalesce(i, 0), 9) AS in_soma_ratio FROM sp LEFT JOIN h ON sp.spot_id = h.spot_id)"""
 _ONE = "oc AS (SELECT sample_id, cell_id, min(cell_type) AS cell_type, min(brain_area) AS brain_area FROM ce GROUP BY sample_id, cell_id)"
 _GRID = "b AS (SELECT sample_id, floor(min(global_x) / {w}) * {w} AS x0, greatest(ceil(max(global_x) / {w}) - floor(min(global_x) / {w}), 1) AS nx, floor(min(global_y) / {w}) * {w} AS y0, greatest(ceil(max(global_y) / {w}) - floor(min(global_y) / {w}), 1) AS ny FROM tx GROUP BY sample_id), bn AS (SELECT tx.sample_id, least(floor((global_x - x0) / {w}), nx - 1) AS ix, least(floor((global_y - y0) / {w}), ny - 1) AS iy FROM tx JOIN b ON tx.sample_id = b.sample_id)"
 
