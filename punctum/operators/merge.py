@@ -3,7 +3,8 @@
 The rules are sequential: the markers fold into one list, each sphere of the list meets the next marker's spheres in id
 order, and what happens to one changes what the next one meets. Spheres that don't touch can't affect each other, so
 the fold runs by itself within every connected group of touching spheres, all groups in parallel. Where a merged sphere
-grows into another group, or beyond the points it was given, the groups concerned are joined and run again.
+grows into another group, or beyond the points it was given, the groups concerned are joined and run again, with points
+from twice as far out where these fell short, until no such group is left. Groups only ever join, so it ends.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from punctum.operators.spatial import touching_spheres
 from punctum.plans.components import components
 from punctum.plans.shared import cut
 
-#: Rounds of joining groups; each round takes points twice as far out.
-ROUNDS = 6
+#: Points are first taken from so many radii around a sphere.
+FACTOR = 3.0
 
 
 @dataclass(frozen=True)
@@ -115,36 +116,44 @@ def merged_spheres(spheres: DataFrame, points: DataFrame, rule: MergeRule = Merg
     s = cut(s)
     columns = s.columns
     touch = touching_spheres(s, s, keys=k, scale=max(rule.l, 1.0)).where("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    edges, factor = cut(touch), 3.0
-    for _ in range(ROUNDS):
+    edges, s, kept, todo = cut(touch), s.withColumn("__factor", F.lit(FACTOR)), None, None
+    while True:
         group = components(edges)
         grouped = cut(s.join(group, s["sphere_id"] == group["node"], "left").withColumn("grp", F.coalesce("root", "sphere_id")).drop("node", "root"))
         many = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
+        if todo is None:
+            kept = grouped.join(many, "grp", "left_anti").drop("__factor")
+        else:
+            many = grouped.join(todo, "sphere_id", "left_semi").select("grp").distinct()
         work = grouped.join(many, "grp", "left_semi")
-        out = grouped.schema
-        near = points_in_spheres(points, work.withColumn("__reach", F.col("sphere_r") * factor), keys=k, radius="__reach", carry=["target", "global_x", "global_y", "global_z"])
+        out = grouped.drop("__factor").schema
+        near = points_in_spheres(points, work.withColumn("__reach", F.col("sphere_r") * F.col("__factor")), keys=k, radius="__reach", carry=["target", "global_x", "global_y", "global_z"])
         own = near.join(work.select("sphere_id", "grp"), "sphere_id").join(work.select("grp", F.col("gene").alias("target")).distinct(), ["grp", "target"], "left_semi").select("grp", "tx_id", "target", "global_x", "global_y", "global_z").distinct()
         own = cut(own)
 
-        f = factor
-
         def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             by_gene = {g: p[["global_x", "global_y", "global_z"]].to_numpy() for g, p in right.groupby("target")} if len(right) else {}
             none = np.zeros((0, 3))
-            result = fold(left, lambda g: by_gene.get(g, none), rule)
+            result = fold(left.drop(columns="__factor"), lambda g: by_gene.get(g, none), rule)
             centre = left[["sphere_x", "sphere_y", "sphere_z"]].to_numpy()
             c = result[["sphere_x", "sphere_y", "sphere_z"]].to_numpy()
             d = np.sqrt(((c[:, None] - centre[None]) ** 2).sum(axis=2)) + result["sphere_r"].to_numpy()[:, None]
-            result["covered"] = (d <= left["sphere_r"].to_numpy()[None] * f + 1e-9).any(axis=1)
+            result["covered"] = (d <= (left["sphere_r"] * left["__factor"]).to_numpy()[None] + 1e-9).any(axis=1)
             return result
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out)
         done = cut(work.groupBy("grp").cogroup(own.groupBy("grp")).applyInPandas(run, f"{schema}, covered boolean"))
-        whole = done.drop("covered").unionByName(grouped.join(many, "grp", "left_anti"))
         grown = done.drop("covered")
         across = touching_spheres(grown, grouped, keys=k, scale=max(rule.l, 1.0)).join(grown.select(F.col("sphere_id").alias("a_id"), F.col("grp").alias("ga")), "a_id").join(grouped.select(F.col("sphere_id").alias("b_id"), F.col("grp").alias("gb")), "b_id")
         across = cut(across.where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct())
-        if across.isEmpty() and done.where("NOT covered").isEmpty():
+        short = done.where("NOT covered").select("grp").distinct()
+        again = cut(across.select(F.col("a").alias("grp")).unionByName(across.select(F.col("b").alias("grp"))).unionByName(short).distinct())
+        whole = kept.unionByName(grown)
+        if again.isEmpty():
             break
-        edges, factor = cut(edges.unionByName(across).distinct()), factor * 2
+        kept = cut(whole.join(again, "grp", "left_anti"))
+        todo = cut(grouped.join(again, "grp", "left_semi").select("sphere_id"))
+        more = short.withColumn("__more", F.lit(2.0))
+        s = cut(grouped.join(more, "grp", "left").withColumn("__factor", F.col("__factor") * F.coalesce("__more", F.lit(1.0))).drop("grp", "__more"))
+        edges = cut(edges.unionByName(across).distinct())
     return whole.select(*columns).drop("marker_rank")

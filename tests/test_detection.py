@@ -109,6 +109,23 @@ def test_merge_in_groups_equals_merge_of_all(spark):
     assert np.allclose(got[["sphere_x", "sphere_y", "sphere_r"]], want[["sphere_x", "sphere_y", "sphere_r"]], atol=1e-6)
 
 
+def test_merge_of_a_chain_goes_on_until_no_group_grows(spark):
+    import pandas as pd
+
+    at = [0.0, 1.9] + [4.0 + 2.1 * i for i in range(6)]
+    rows = [(i, "a", f"g{i:02d}", x, 0.0, 0.0, 0.0, 1.0) for i, x in enumerate(at)]
+    pts = [(i, "a", f"g{i:02d}", x + (0.95 if i else -1.0), 0.0, 0.0, 0, None) for i, x in enumerate(at)]
+    s = spark.createDataFrame(rows, "sphere_id long, sample_id string, gene string, sphere_x double, sphere_y double, sphere_z double, layer_z double, sphere_r double")
+    rule = MergeRule(threshold=1.0, s=1.27)
+    got = merged_spheres(s, spark.createDataFrame(pts, PTS), rule).toPandas().sort_values("sphere_id")
+    all_rows = pd.DataFrame(rows, columns=s.columns).assign(marker_rank=lambda d: d["gene"])
+    by = {p[2]: np.array([p[3:6]]) for p in pts}
+    want = fold(all_rows, by.__getitem__, rule).sort_values("sphere_id")
+    assert list(want["sphere_id"]) == [0]
+    assert list(got["sphere_id"]) == [0]
+    assert np.allclose(got[["sphere_x", "sphere_y", "sphere_r"]], want[["sphere_x", "sphere_y", "sphere_r"]], atol=1e-6)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_components(spark, seed):
     rng = random.Random(seed)
