@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from punctum.catalog.base import granules, readings, sql
+from punctum.catalog.spatial import touching_pairs
 from punctum.functions import geometry as G
 from punctum.operators import density as D
 from punctum.operators.merge import MergeRule, merged_spheres
@@ -99,16 +100,25 @@ def e23_rough(spark, d):
     return _rounded(_spheres(spark, d, D.DetectorParams(minspl=3, size_thr=1e5, in_soma_thr=1.01, planes=PLANES)))
 
 
-def m02_volumes(spark, d):
-    """Volumes and shared volumes of touching spheres, and their overlap measures."""
-    g = granules(spark, d).where("sphere_r <= 10 AND sphere_r > 0")
-    t = touching_spheres(g.where("gene < 'H'"), g.where("gene >= 'H'"))
+def _volumes(g, t):
     r = g.select(F.col("sphere_id"), F.col("sphere_r"))
     t = t.join(r.withColumnsRenamed({"sphere_id": "a_id", "sphere_r": "ra"}), "a_id").join(r.withColumnsRenamed({"sphere_id": "b_id", "sphere_r": "rb"}), "b_id")
     va, vb, both = G.volume(F.col("ra")), G.volume(F.col("rb")), G.shared_volume(F.col("distance"), F.col("ra"), F.col("rb"))
     return t.select("a_id", "b_id", r6(both).alias("shared"), r6(both / F.least(va, vb)).alias("volume"), r6(both / (va + vb - both)).alias("jaccard"), r6(2 * both / (va + vb)).alias("dice"))
 
 
+def m02_volumes(spark, d):
+    """Volumes and shared volumes of touching spheres, and their overlap measures."""
+    g = granules(spark, d).where("sphere_r <= 10 AND sphere_r > 0")
+    return _volumes(g, touching_spheres(g.where("gene < 'H'"), g.where("gene >= 'H'")))
+
+
+def m02_volumes_all(spark, d):
+    """The same for touching spheres of any two genes and any radius above 0."""
+    g = granules(spark, d).where("sphere_r > 0")
+    return _volumes(g, touching_pairs(g))
+
+
 def _merged_by(by, threshold):
     def query(spark, d):
         rule = MergeRule(by=by, threshold=threshold, planes=PLANES, refresh_layer=False)
@@ -172,3 +182,6 @@ ps AS (SELECT count(DISTINCT target) AS genes, count(*) AS n FROM h GROUP BY sph
 SELECT (SELECT round(avg(n), 6) FROM pt) AS mean_spheres, (SELECT round(avg(CASE WHEN n = 1 THEN 1 ELSE 0 END), 6) FROM pt) AS share_1, (SELECT round(avg(CASE WHEN n = 2 THEN 1 ELSE 0 END), 6) FROM pt) AS share_2, (SELECT round(avg(CASE WHEN n >= 3 THEN 1 ELSE 0 END), 6) FROM pt) AS share_3,
  (SELECT round(avg(CASE WHEN own = 1 AND crs = 1 THEN 1 ELSE 0 END), 6) FROM pt) AS own_and_cross, (SELECT round(avg(genes), 6) FROM ps) AS mean_genes, (SELECT round(avg(n), 6) FROM ps) AS mean_readings"""),
 }
+
+_SIDES = "a.gene < 'H' AND b.gene >= 'H' AND a.sphere_r <= 10 AND b.sphere_r <= 10"
+SQL |= {"m02_volumes_all": SQL["m02_volumes"].replace(_SIDES, "a.sphere_id < b.sphere_id AND a.gene <> b.gene")}

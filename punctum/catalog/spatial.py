@@ -43,15 +43,36 @@ def c04_touching(spark, d):
     return S.touching_spheres(g.where("gene < 'H'"), g.where("gene >= 'H'")).select("a_id", "b_id", r6("distance").alias("distance"))
 
 
-def c05_own_points_of_pairs(spark, d):
-    """For every touching pair, the readings of each sphere's own gene in either of them, repeated readings kept."""
-    g = granules(spark, d).where("sphere_r <= 10")
+def touching_pairs(g):
+    """(a_id, b_id, distance) of all touching spheres of different genes, the smaller id first."""
+    gene = lambda s: g.select(F.col("sphere_id").alias(f"{s}_id"), F.col("gene").alias(f"{s}_gene")).distinct()
+    pairs = S.touching_spheres(g, g).where("a_id < b_id").join(gene("a"), "a_id").join(gene("b"), "b_id")
+    return pairs.where("a_gene <> b_gene").select("a_id", "b_id", "distance")
+
+
+def c04_touching_all(spark, d):
+    """Touching spheres of different genes, of any radius."""
+    return touching_pairs(granules(spark, d)).select("a_id", "b_id", r6("distance").alias("distance"))
+
+
+def _own_points(spark, d, g, pairs):
     own = points_in_spheres(readings(spark, d), g, carry=["target"]).join(g.select("sphere_id", "gene"), "sphere_id").where("gene = target").select("sphere_id", "tx_id")
-    pairs = S.touching_spheres(g.where("gene < 'H'"), g.where("gene >= 'H'"))
     sides = [pairs.join(own, pairs[s] == own["sphere_id"]).select("a_id", "b_id", "tx_id") for s in ("a_id", "b_id")]
     return sides[0].unionByName(sides[1]).groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("n_points"))
 
 
+def c05_own_points_of_pairs(spark, d):
+    """For every touching pair, the readings of each sphere's own gene in either of them, repeated readings kept."""
+    g = granules(spark, d).where("sphere_r <= 10")
+    return _own_points(spark, d, g, S.touching_spheres(g.where("gene < 'H'"), g.where("gene >= 'H'")))
+
+
+def c05_own_points_of_all_pairs(spark, d):
+    """The same for touching spheres of any two genes and any radius."""
+    g = granules(spark, d)
+    return _own_points(spark, d, g, touching_pairs(g))
+
+
 def _soma(spark, d):
     return cells(spark, d).where(F.col("cell_type").isin(*SOMA)).select("cell_id", "sample_id", "global_x", "global_y").distinct()
 
@@ -209,7 +230,15 @@ SETTINGS = [("default", 1.0, None), ("wide", 1.2, None), ("narrow", 0.8, None),
 
 def g19_radius_settings(spark, d):
     """Readings, control ratio and in-soma ratio of each granule at four radius settings; "fixed" is the median radius."""
-    g = granules(spark, d).where("sphere_r <= 10")
+    return _radius_settings(spark, d, granules(spark, d).where("sphere_r <= 10"))
+
+
+def g19_radius_settings_all(spark, d):
+    """The same for granules of any radius."""
+    return _radius_settings(spark, d, granules(spark, d))
+
+
+def _radius_settings(spark, d, g):
     median = g.agg(F.median("sphere_r").alias("median_r"))
     settings = spark.createDataFrame(SETTINGS, "setting string, factor double, fixed double")
     g = g.crossJoin(median).crossJoin(settings).withColumn("reach", F.coalesce(F.col("sphere_r") * F.col("factor"), F.col("median_r")))
@@ -311,3 +340,10 @@ SELECT f.spot_id, t.target, count(*) AS n FROM f JOIN gr g ON f.sphere_id = g.sp
     "g22_control_ratio": sql(f"{_C02} SELECT sphere_id, round(n_controls / size, 6) AS nc_ratio FROM cc WHERE size > 0"),
     "n15_subdivided": sql("SELECT spot_id || '_25um_q' || i AS spot_id, global_x + dx AS global_x, global_y + dy AS global_y, sample_id FROM sp, (SELECT unnest([0, 1, 2, 3]) AS i, unnest([-12.5, 12.5, -12.5, 12.5]::DOUBLE[]) AS dx, unnest([-12.5, -12.5, 12.5, 12.5]::DOUBLE[]) AS dy)"),
 }
+
+_ALL_PAIRS = _TOUCH.replace("a.gene < 'H' AND b.gene >= 'H' AND a.sphere_r <= 10 AND b.sphere_r <= 10", "a.sphere_id < b.sphere_id AND a.gene <> b.gene")
+SQL |= {
+    "c04_touching_all": SQL["c04_touching"].replace(_TOUCH, _ALL_PAIRS),
+    "c05_own_points_of_all_pairs": SQL["c05_own_points_of_pairs"].replace(_TOUCH, _ALL_PAIRS).replace(" AND g.sphere_r <= 10", ""),
+    "g19_radius_settings_all": SQL["g19_radius_settings"].replace(" WHERE sphere_r <= 10", ""),
+}

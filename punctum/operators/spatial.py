@@ -19,7 +19,7 @@ _EDGES = {
 }
 
 
-def _covered(lo: Column, hi: Column, width: float) -> Column:
+def _covered(lo: Column, hi: Column, width: Column | float) -> Column:
     return F.explode(F.sequence(F.floor(lo / width - SLACK), F.floor(hi / width + SLACK)))
 
 
@@ -47,20 +47,27 @@ def first_box(pairs: DataFrame, *, point_id: str, box_id: str) -> DataFrame:
 def touching_spheres(a: DataFrame, b: DataFrame, *, keys: Sequence[str] = ("sample_id",), scale: float = 1.0, cell: float = 8.0) -> DataFrame:
     """(a_id, b_id, distance) of spheres whose x-y boxes meet and whose centres are under ``scale`` times the sum of radii apart.
 
-    Both sides have keys, sphere_id, sphere_x, sphere_y, sphere_z, sphere_r. Boxes meet with their edges included.
+    Both sides have keys, sphere_id, sphere_x, sphere_y, sphere_z, sphere_r. Boxes meet with their edges included. Spheres
+    wider than ``cell`` sit on coarser levels, each four times as wide as the one before it, so that none covers more than a few
+    cells; a pair meets on the coarser level of the two, and spheres are repeated only for levels that occur.
     """
     keys = list(keys)
     cols = ("sphere_id", "sphere_x", "sphere_y", "sphere_z", "sphere_r")
     sides = []
     for df, s in ((a, "a"), (b, "b")):
         side = df.select(*keys, *(F.col(c).alias(f"{s}_{c}") for c in cols))
+        sides.append(side.withColumn(f"{s}_level", F.greatest(F.ceil(F.log(4.0, F.col(f"{s}_sphere_r") / cell)), F.lit(0)).cast("int")))
+    used = sorted({r[0] for side, s in zip(sides, "ab") for r in side.where(f"{s}_level IS NOT NULL").select(f"{s}_level").distinct().collect()})
+    for i, s in enumerate("ab"):
+        side = sides[i].withColumn("level", F.explode(F.array(*map(F.lit, used)) if used else F.array(F.lit(0)))).where(f"level >= {s}_level")
+        width = F.lit(cell) * F.pow(F.lit(4.0), F.col("level").cast("double"))
         for n, c in (("ix", "sphere_x"), ("iy", "sphere_y")):
-            side = side.withColumn(n, _covered(F.col(f"{s}_{c}") - F.col(f"{s}_sphere_r"), F.col(f"{s}_{c}") + F.col(f"{s}_sphere_r"), cell))
-        sides.append(side)
+            side = side.withColumn(n, _covered(F.col(f"{s}_{c}") - F.col(f"{s}_sphere_r"), F.col(f"{s}_{c}") + F.col(f"{s}_sphere_r"), width))
+        sides[i] = side
     reach = F.col("a_sphere_r") + F.col("b_sphere_r")
     meet = (F.abs(F.col("a_sphere_x") - F.col("b_sphere_x")) <= reach) & (F.abs(F.col("a_sphere_y") - F.col("b_sphere_y")) <= reach)
     d = distance(*((F.col(f"a_{c}"), F.col(f"b_{c}")) for c in cols[1:4]))
-    pairs = sides[0].join(sides[1], [*keys, "ix", "iy"]).where(meet & (d < scale * reach))
+    pairs = sides[0].join(sides[1], [*keys, "level", "ix", "iy"]).where(F.col("level") == F.greatest("a_level", "b_level")).where(meet & (d < scale * reach))
     return pairs.select(F.col("a_sphere_id").alias("a_id"), F.col("b_sphere_id").alias("b_id"), d.alias("distance")).distinct()
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from punctum.operators.proximity import points_in_regions, points_in_spheres, points_near_points
+from punctum.catalog.spatial import touching_pairs
 from punctum.operators.spatial import nearest, points_in_boxes
 
 NAN, INF = float("nan"), float("inf")
@@ -90,3 +91,11 @@ def test_nearest_against_all_pairs(spark, cell):
     got = nearest(df(left, "l"), df(right, "q"), 3, left_id="l", right_id="q", left_xyz=("x", "y"), right_xyz=("x", "y"), cell=cell)
     want = {(a, b, p + 1) for a, ax, ay in left for p, (_, b) in enumerate(sorted((math.hypot(ax - x, ay - y), b) for b, x, y in right)[:3])}
     assert {(r["l"], r["q"], r["place"]) for r in got.select("l", "q", F.col("place")).collect()} == want
+
+
+def test_touching_spheres_of_every_radius_and_pair_of_genes(spark):
+    rng = random.Random(6)
+    rows = [(i, "a", rng.choice("BCXY"), rng.uniform(-200, 200), rng.uniform(-200, 200), 0.0, rng.choice([0.0, 0.5, 8.0, 32.0, 40.0, 1e6])) for i in range(60)]
+    g = spark.createDataFrame(rows, "sphere_id long, sample_id string, gene string, sphere_x double, sphere_y double, sphere_z double, sphere_r double")
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] != b[2] and math.dist(a[3:6], b[3:6]) < a[6] + b[6])
+    assert sorted((r["a_id"], r["b_id"]) for r in touching_pairs(g).collect()) == want
