@@ -39,8 +39,8 @@ def e06_cluster_places(spark, d):
     return out.where("places >= 3")
 
 
-def _spheres(spark, d, params=FINE):
-    return written_once(D.detected_spheres(readings(spark, d), params, markers=MARKERS), "spheres")
+def _spheres(spark, d, params=FINE, markers=None):
+    return written_once(D.detected_spheres(readings(spark, d), params, markers=markers), "spheres")
 
 
 def _rounded(s):
@@ -60,8 +60,13 @@ def e12_spheres(spark, d):
     return _rounded(_spheres(spark, d))
 
 
+def e12_marker_spheres(spark, d):
+    """Detection within a list of markers only."""
+    return _rounded(_spheres(spark, d, markers=MARKERS))
+
+
 def e14_merged(spark, d):
-    return _rounded(merged_spheres(_spheres(spark, d), readings(spark, d), MergeRule(threshold=0.2, planes=PLANES), order=MARKERS))
+    return _rounded(merged_spheres(_spheres(spark, d), readings(spark, d), MergeRule(threshold=0.2, planes=PLANES)))
 
 
 def e15_control_filter(spark, d):
@@ -73,7 +78,7 @@ def e15_control_filter(spark, d):
 def e16_detect(spark, d):
     """Detection, merge and control filter in a row."""
     r = readings(spark, d)
-    merged = merged_spheres(_spheres(spark, d), r, MergeRule(threshold=0.2, planes=PLANES), order=MARKERS)
+    merged = merged_spheres(_spheres(spark, d), r, MergeRule(threshold=0.2, planes=PLANES))
     return _rounded(D.control_filter(merged, r, table(spark, d, "negative_controls"), FINE))
 
 
@@ -83,12 +88,12 @@ def e17_profile(spark, d):
 
 def e19_simulator_detector(spark, d):
     """Thresholds that include their values, in-soma from the sphere's points."""
-    return _rounded(D.detected_spheres(readings(spark, d), D.DetectorParams(minspl=4, in_soma_thr=0.5, planes=PLANES), markers=MARKERS[:3], radius_first=True))
+    return _rounded(D.detected_spheres(readings(spark, d), D.DetectorParams(minspl=4, in_soma_thr=0.5, planes=PLANES), radius_first=True))
 
 
 def e20_composition(spark, d):
     """Spheres with at least two markers."""
-    return _rounded(D.detected_spheres(readings(spark, d), D.DetectorParams(minspl=3, in_soma_thr=0.5), markers=MARKERS).where("comp >= 2"))
+    return _rounded(D.detected_spheres(readings(spark, d), D.DetectorParams(minspl=3, in_soma_thr=0.5)).where("comp >= 2"))
 
 
 def e22_ranking(spark, d):
@@ -122,7 +127,7 @@ def m02_volumes_all(spark, d):
 def _merged_by(by, threshold):
     def query(spark, d):
         rule = MergeRule(by=by, threshold=threshold, planes=PLANES, refresh_layer=False)
-        return _rounded(merged_spheres(_spheres(spark, d), readings(spark, d), rule, order=MARKERS))
+        return _rounded(merged_spheres(_spheres(spark, d), readings(spark, d), rule))
 
     query.__doc__ = f"Spheres merged by {by}."
     return query

@@ -64,6 +64,18 @@ def test_sphere_features(spark):
     assert (r["sphere_x"], r["sphere_y"], r["sphere_r"]) == pytest.approx((0.5, 0.5, math.sqrt(0.5)))
 
 
+def test_registered_detection_takes_every_gene(spark, monkeypatch):
+    from punctum.catalog import detection, simulation
+
+    rows = [(100 * k + i, "a", g, 30.0 * k + x, y, 0.0, 0, None) for k, g in enumerate(("Flout12c", "Elsewise")) for i, (x, y) in enumerate([(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0)])]
+    df = spark.createDataFrame(rows, PTS)
+    monkeypatch.setattr(detection, "readings", lambda *_: df)
+    monkeypatch.setattr(simulation, "readings", lambda *_: df)
+    for query in (detection.e12_spheres, detection.e14_merged, detection.e19_simulator_detector, detection.e23_rough, simulation.v13_parameter_sweep):
+        assert {r["gene"] for r in query(spark, None).select("gene").collect()} == {"Flout12c", "Elsewise"}
+    assert [r["gene"] for r in detection.e12_marker_spheres(spark, None).collect()] == ["Flout12c"]
+
+
 def test_no_points_give_no_spheres(spark):
     assert D.detected_spheres(spark.createDataFrame([], PTS), D.DetectorParams(minspl=3)).count() == 0
 
