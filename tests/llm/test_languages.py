@@ -72,3 +72,12 @@ def test_tables(spark, samples):
     assert top == {1: "de", 2: None, 3: "ru", 4: None}
     assert with_segments(docs.limit(0), lines).count() == 0
     assert passages(with_segments(docs, lines.limit(0))).count() == 0
+
+
+def test_every_dictionary_is_tried_whatever_the_script(samples):
+    from punctum.llm.languages import plain
+
+    c = Classifier(samples, P)
+    for lang in c.codes:
+        text = plain(samples[lang][0])
+        assert c.sizes(text) == [sum(len(compress[i](wide(text))) for wide, compress in c.codings) for i in range(len(c.codes))]
