@@ -73,7 +73,7 @@ def f15_t_test_p(spark, d):
 
 
 def f16_bootstrap(spark, d):
-    return S.bootstrap_mean(_usable(spark, d), "size", "sphere_id", ["sample_id"], resamples=200)
+    return S.bootstrap_mean(_usable(spark, d), "size", "sphere_id", ["sample_id"])
 
 
 def f17_linear_model(spark, d):

@@ -63,6 +63,16 @@ def n08_tuning(spark, d):
     return T.tuned(_scores(spark, d), manual, [0.1, 0.2, 0.3, 0.35, 0.4, 0.5], [-0.5, 0.0, 0.5]).select("enrichment", "least", r6("error").alias("error"))
 
 
+ENRICHMENTS = [0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6]
+LEASTS = [-1.0, -0.5, 0.0, 0.5, 1.0, 1.5, 2.0]
+
+
+def n08_tuning_grid(spark, d):
+    """The same over 9 x 7 thresholds."""
+    manual = spark.createDataFrame(MANUAL, "subtype_simple string, share double")
+    return T.tuned(_scores(spark, d), manual, ENRICHMENTS, LEASTS).select("enrichment", "least", r6("error").alias("error"))
+
+
 def n16_manual_shares(spark, d):
     n = n05_subtypes(spark, d).groupBy("subtype_simple").agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window
@@ -120,3 +130,5 @@ SELECT th.enrichment, th.least, round(sum((coalesce(share, 0) - want) ** 2), 6)
     "f21_agreement": sql("""c AS (SELECT gene, comp, count(*) AS n FROM gr GROUP BY ALL), i AS (SELECT sum(n * (n - 1) / 2) AS i, sum(n) AS t FROM c), x AS (SELECT sum(n * (n - 1) / 2) AS x FROM (SELECT sum(n) AS n FROM c GROUP BY gene)), y AS (SELECT sum(n * (n - 1) / 2) AS y FROM (SELECT sum(n) AS n FROM c GROUP BY comp))
 SELECT round((i - x * y / (t * (t - 1) / 2)) / ((x + y) / 2 - x * y / (t * (t - 1) / 2)), 6) AS ari FROM i, x, y"""),
 }
+
+SQL |= {"n08_tuning_grid": SQL["n08_tuning"].replace("[0.1, 0.2, 0.3, 0.35, 0.4, 0.5]::DOUBLE[]", f"{ENRICHMENTS}::DOUBLE[]").replace("[-0.5, 0.0, 0.5]::DOUBLE[]", f"{LEASTS}::DOUBLE[]")}

@@ -75,3 +75,25 @@ def test_no_detections_and_no_truth(spark):
     one, none = (spark.createDataFrame([(n,)], "n long") for n in (1, 0))
     m = V.object_metrics(pairs, one, none, truth="truth").first()
     assert (m["tp"], m["fp"], m["fn"], m["f1"]) == (0, 0, 1, 0.0)
+
+
+def test_registered_sweeps_take_the_whole_grids(spark, monkeypatch):
+    import os
+
+    import pytest
+
+    from punctum.catalog import simulation, statistics, subtypes
+    from tests.oracle import DATA
+
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    assert subtypes.n08_tuning_grid(spark, DATA).select("enrichment", "least").distinct().count() == 9 * 7
+    assert simulation.v14_filter_grid(spark, DATA).select("in_soma_thr", "nc_thr").distinct().count() == 12 * 11
+    asked, settings = {}, []
+    monkeypatch.setattr(statistics.S, "bootstrap_mean", lambda *a, **kw: asked.update(kw))
+    statistics.f16_bootstrap(spark, DATA)
+    assert asked.get("resamples", 500) == 500
+    none = spark.createDataFrame([], "gene string, sphere_r double")
+    monkeypatch.setattr(simulation, "detected_spheres", lambda points, p, **kw: settings.append((p.eps, p.minspl)) or none)
+    simulation.v13_parameter_sweep(spark, DATA)
+    assert len(set(settings)) == 8
