@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from punctum.functions.columns import kept
 from punctum.functions.geometry import distance, nearest_plane
-from punctum.operators.proximity import points_in_spheres, sphere_candidates
+from punctum.functions.names import finite
+from punctum.operators.proximity import points_in_spheres
 from punctum.operators.spatial import occupied_area
+from punctum.operators.tileclusters import clusters_by_tiles, exact_clusters
 from punctum.plans.components import components
-from punctum.plans.shared import cut, written_once
+from punctum.plans.shared import written_once
 
 XYZ = ("global_x", "global_y", "global_z")
 
@@ -73,36 +75,25 @@ def least_points(points: DataFrame, p: DetectorParams, keys: Sequence[str], gene
     return joined.select(*keys, gene, F.greatest(quantile(mu), F.lit(p.low_bound).cast("long")).alias("least"))
 
 
-def near_pairs(points: DataFrame, eps: float, groups: Sequence[str], row_id: str) -> DataFrame:
-    """(groups, a, b) of all ordered pairs of points of one group at most ``eps`` apart, each point with itself too."""
-    g = list(groups)
-    p = points.select(*g, F.col(row_id).alias("pid"), *(F.col(c).cast("double").alias(n) for c, n in zip(XYZ, ("px", "py", "pz"))))
-    s = p.select(*g, F.col("pid").alias("sid"), F.col("px").alias("cx"), F.col("py").alias("cy"), F.col("pz").alias("cz"), F.lit(float(eps)).alias("r"))
-    d2 = sum((F.pow(F.col(f"p{c}") - F.col(f"c{c}"), 2) for c in "yz"), F.pow(F.col("px") - F.col("cx"), 2))
-    return sphere_candidates(p, s, keys=g, cell=2 * eps).where(d2 <= eps * eps).select(*g, F.col("sid").alias("a"), F.col("pid").alias("b"))
-
-
-def density_clusters(points: DataFrame, *, eps: float, least: int | DataFrame, groups: Sequence[str] = ("sample_id", "target"), row_id: str = "tx_id") -> DataFrame:
+def density_clusters(points: DataFrame, *, eps: float, least: int | DataFrame, groups: Sequence[str] = ("sample_id", "target"), row_id: str = "tx_id", width: float = 160.0, most: int = 400_000) -> DataFrame:
     """(groups, cluster, row_id, central): density clusters within each group, named by their least central id.
 
     A point with ``least`` points within ``eps``, itself and copies included, is central. Central points that are near each
     other share a cluster; another point near central ones goes to the cluster of the least id, as it does when
-    clusters are grown in row order. ``least`` may be a table of groups with a column least.
+    clusters are grown in row order. ``least`` may be a table of groups with a column least. The last of ``groups`` is
+    held apart within a tile, the others make tiles of their own; tiles of over ``most`` rows are cut up. Rows with a NULL
+    group or a position that isn't finite are in no cluster; rows of one ``row_id`` count once and must be equal.
     """
-    g = list(groups)
-    pairs = written_once(near_pairs(points, eps, g, row_id), "pairs")
-    n = pairs.groupBy(*g, F.col("a")).agg(F.count(F.lit(1)).alias("n"))
-    if isinstance(least, int):
-        core = n.where(F.col("n") >= least)
-    else:
-        core = n.join(least, g).where("n >= least")
-    core = cut(core.select("a"))
-    inner = pairs.join(core, "a").join(core.select(F.col("a").alias("b")), "b").where("a < b").select("a", "b")
-    label = components(inner).withColumnRenamed("node", "a")
-    core = core.join(label, "a", "left").select("a", F.coalesce("root", "a").alias("cluster"))
-    touch = pairs.join(core.withColumnsRenamed({"a": "b", "cluster": "near"}), "b")
-    rows = touch.groupBy(*g, "a").agg(F.min("near").alias("near"))
-    return rows.join(core, "a", "left").select(*g, F.coalesce("cluster", "near").alias("cluster"), F.col("a").alias(row_id), F.col("cluster").isNotNull().alias("central"))
+    *outer, inner = groups
+    p = points if isinstance(least, int) else points.join(least.select(*groups, "least"), list(groups))
+    p = p.select(*(F.col(k).alias(f"key_{i}") for i, k in enumerate(outer)), F.col(inner).alias("block"), F.col(row_id).cast("long").alias("row_id"), *((F.col(c).cast("double") + F.lit(0.0)).alias(n) for c, n in zip(XYZ, "xyz")), (F.lit(least) if isinstance(least, int) else F.col("least")).cast("long").alias("least"))
+    keys = [f"key_{i}" for i in range(len(outer))]
+    for c in "xyz":
+        p = p.where(finite(F.col(c)))
+    p = p.where(" AND ".join(f"{c} IS NOT NULL" for c in ("row_id", "block", *keys)))
+    rows = clusters_by_tiles(written_once(p, "points"), keys, exact_clusters(eps), components, eps=eps, width=width, most=most, named=True)
+    names = [F.col(a).alias(b) for a, b in zip([*keys, "block"], groups)]
+    return rows.select(*names, F.col("cluster_id").alias("cluster"), F.col("row_id").alias(row_id), "central")
 
 
 def _ball_of(support: np.ndarray) -> tuple[np.ndarray, float]:

@@ -8,7 +8,8 @@ import pytest
 from punctum.operators import density as D
 from punctum.operators.merge import MergeRule, fold, merged_spheres
 from punctum.plans.components import components
-from punctum.plans.tiling import tiled
+from punctum.operators.tileclusters import Columns, completed
+from punctum.plans.tiling import tile_widths, tiled
 
 PTS = "tx_id long, sample_id string, target string, global_x double, global_y double, global_z double, overlaps_nucleus int, cell_id string"
 
@@ -153,9 +154,31 @@ def test_components(spark, seed):
 
 def test_crowded_tiles_are_cut_and_nothing_is_lost(spark):
     rng = random.Random(2)
-    rows = [(i, "a", rng.uniform(0, 64), rng.uniform(0, 64)) for i in range(300)] + [(1000 + i, "a", 3 + rng.random(), 3 + rng.random()) for i in range(200)] + [(1, "a", rng.uniform(0, 64), 0.0)] * 0
-    df = spark.createDataFrame(rows, "id long, s string, x double, y double")
-    t = tiled(df, ["s"], x="x", y="y", row_id="id", width=64.0, rim=1.0, most=60).collect()
-    own = [r for r in t if all(0 <= r[c] - r[k] * 64.0 / 4 ** r["level"] < 64.0 / 4 ** r["level"] for c, k in (("x", "tx"), ("y", "ty")))]
-    assert sorted(r["id"] for r in own) == sorted(r[0] for r in rows)
-    assert {r["level"] for r in t} > {0} or {r["level"] for r in t} == {1, 2}
+    rows = [(i, "a", rng.choice("AB"), rng.uniform(0, 64), rng.uniform(0, 64)) for i in range(300)] + [(1000 + i, "a", "A", 3 + rng.random(), 3 + rng.random()) for i in range(200)] + [(5000 + i, "a", "B", 9.0, 9.0) for i in range(500)]
+    df = spark.createDataFrame([(*r, 0.0, 1) for r in rows], "id long, s string, g string, x double, y double, z double, copies long")
+    t, collapsed = tiled(df, ["s"], block="g", row_id="id", width=64.0, rim=1.0, most=60)
+    t, widths = t.collect(), tile_widths(64.0, 1.0)
+    own = [r for r in t if all(0 <= r[c] - r[k] * widths[r["level"]] < widths[r["level"]] for c, k in (("x", "tx"), ("y", "ty")))]
+    # copies at one position came down to the one of least id, which carries their number
+    assert sorted(r["id"] for r in own) == sorted(r[0] for r in rows if r[0] <= 5000)
+    assert {r["id"]: r["copies"] for r in own}[5000] == 500 and sum(r["copies"] for r in own) == len(rows)
+    assert max(r["level"] for r in t) >= 2 and collapsed.count() == 501
+    assert tiled(df, ["s"], block="g", row_id="id", width=64.0, rim=1.0, most=5000)[1] is None
+
+
+def test_completion_from_any_start_gives_the_same_clusters():
+    rng = np.random.default_rng(5)
+    xyz = rng.integers(0, 14 * 8, (700, 3)) / 8 * np.array([1, 1, 0.2])
+    block, smallest = rng.integers(0, 2, 700), rng.permutation(700)
+    weight, least = rng.integers(1, 3, 700), np.full(700, 4)
+    grid = Columns(block, xyz, 1.5)
+    a, b = np.array([(i, j) for i in range(700) for j in range(i) if block[i] == block[j] and ((xyz[i] - xyz[j]) ** 2).sum() <= 2.25]).T
+    bare = completed(grid, weight, smallest, least)
+    for share in (0.3, 0.9, 1.0):
+        some = rng.random(len(a)) <= share
+        c = completed(grid, weight, smallest, least, a[some], b[some])
+        assert (c.label == bare.label).all() and (c.central == bare.central).all()
+        assert set(zip(*map(tuple, c.border))) == set(zip(*map(tuple, bare.border)))
+    assert c.proven[c.central].all() and c.proven[c.border[0]].all()
+    count = weight + np.bincount(a, weight[b], 700) + np.bincount(b, weight[a], 700)
+    assert (bare.central == (count >= 4)).all() and not bare.proven[bare.border[0]].any()

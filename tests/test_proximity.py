@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from punctum.operators.proximity import points_in_regions, points_in_spheres, points_near_points
+from punctum.operators.proximity import crosses_arc, points_in_regions, points_in_spheres, points_near_points, sphere_arcs
 from punctum.catalog.spatial import touching_pairs
 from punctum.operators.spatial import nearest, points_in_boxes
 
@@ -40,6 +40,26 @@ def test_against_all_pairs_with_radii_of_every_size(spark, seed):
     assert found(spark, points, spheres) == want
 
 
+def test_arcs_are_cut_into_pieces_and_their_crossings_summed(spark):
+    s = spark.createDataFrame([("a", 1, 0.0, 0.0, 0.0, 9.0)], "key string, sid long, cx double, cy double, cz double, r double")
+    arcs = sphere_arcs(s, 4.0).collect()
+    at = lambda out: {(r["strip"], r["column"]) for r in arcs if r["out"] == out}
+    assert {y for y, _ in at(1)} == set(range(-3, 3)) and {(0, -3), (0, 2)} <= at(1) and (0, 2) not in at(-1) and at(-1) < at(1)
+    assert (2, 2) not in at(1)  # the chord of the top strip is short
+    # without the left arc a point left of the sphere would be taken for one inside
+    left = spark.createDataFrame([(1, "a", -8.5, 4.0, 0.0, 1, "x"), (2, "a", -8.0, 4.0, 0.0, 1, "x")], P)
+    one = spark.createDataFrame([(1, "a", 0.0, 0.0, 0.0, 9.0, "x", 1)], S)
+    assert [r["tx_id"] for r in points_in_spheres(left, one).collect()] == [2]
+    pieces = sphere_arcs(s, 4.0).where("out > 0")
+    p = left.select(F.col("tx_id").alias("pid"), F.col("global_x").alias("px"), F.col("global_y").alias("py"), F.col("global_z").alias("pz"))
+    assert p.crossJoin(pieces).where(crosses_arc()).select("pid").distinct().count() == 2
+
+
+def test_rows_of_one_id_at_several_positions_count_each(spark):
+    points = [(1, "a", -20.0, 0.0, 0.0), (1, "a", 1.0, 0.0, 0.0), (1, "a", -20.0, 0.0, 0.0), (2, "a", -4.0, 0.0, 0.0), (2, "a", -4.0, 0.0, 0.0)]
+    assert found(spark, points, [(9, "a", 0.0, 0.0, 0.0, 5.0)] * 2) == [(9, 1), (9, 2)]
+
+
 def test_points_near_points_in_the_plane(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0), (3, 3.0, 4.001), (4, NAN, 0.0)], "id long, x double, y double")
     near = points_near_points(p, p, distance=5.0, left_id="id", right_id="id", left_xyz=("x", "y"), right_xyz=("x", "y"))

@@ -97,3 +97,32 @@ def test_registered_sweeps_take_the_whole_grids(spark, monkeypatch):
     monkeypatch.setattr(simulation, "detected_spheres", lambda points, p, **kw: settings.append((p.eps, p.minspl)) or none)
     simulation.v13_parameter_sweep(spark, DATA)
     assert len(set(settings)) == 8
+
+
+def test_overlapping_spheres_on_one_group_match_once(spark):
+    pairs = spark.createDataFrame([(0, 1, 10, 10, 33), (0, 2, 10, 10, 30)], "truth long, sphere_id long, both long, n_truth long, n_sphere long")
+    one, two = (spark.createDataFrame([(n,)], "n long") for n in (1, 2))
+    m = V.object_metrics(pairs, one, two, truth="truth", complete=0.6, pure=0.3).first()
+    assert (m["tp"], m["fp"], m["fn"], m["recall"]) == (1, 1, 0, 1.0)
+
+
+def test_object_metrics_against_all_matchings(spark):
+    from itertools import permutations
+
+    rng = random.Random(8)
+    rows, want = [], {}
+    for run in range(12):
+        truths = [rng.randint(3, 9) for _ in range(4)]
+        mine = []
+        for s in range(4):
+            held = [rng.choice([0, 0, n // 2, n, n]) for n in truths]
+            total = sum(held) + rng.randint(0, 3)
+            mine += [(str(run), t, s, b, truths[t], total) for t, b in enumerate(held) if b]
+        rows += mine
+        ok = {(r[1], r[2]): 2 * r[3] / (r[4] + r[5]) for r in mine if r[3] >= 0.6 * r[4] and r[3] >= 0.3 * r[5]}
+        best = max(permutations(range(4)), key=lambda p: sum(ok.get((t, s), 0.0) for t, s in enumerate(p)))
+        want[str(run)] = sum((t, s) in ok for t, s in enumerate(best))
+    pairs = spark.createDataFrame(rows, "run string, truth long, sphere_id long, both long, n_truth long, n_sphere long")
+    four = pairs.select("run").distinct().withColumn("n", F.lit(4))
+    m = V.object_metrics(pairs, four, four, truth="truth", keys=["run"], complete=0.6, pure=0.3).collect()
+    assert {r["run"]: r["tp"] for r in m} == want and all(r["fn"] >= 0 for r in m)
