@@ -5,93 +5,45 @@ worked on with numpy:
 
 1. points of one block (here: gene) at one position become one node, with the number of its points as weight;
 2. neighbour descent builds an approximate graph of each node's nearest nodes;
-3. modularity-based community detection runs on the edges within ``eps``; the weight a node has inside its
-   community tells how typical it is;
-4. the exact check: counts that the approximate graph leaves open are completed, and communities are joined wherever
-   two central points of theirs are near, so that the clusters don't depend on what the descent missed.
+3. the graph's edges within ``eps`` tell which nodes are central and link them to clusters;
+4. modularity-based community detection runs on these edges; the weight a node has inside its community tells how typical it is;
+5. the exact check completes what the graph leaves open, and only that: nodes that it doesn't prove central, and nodes
+   with several groups around them (``punctum.operators.tileclusters.completed``). ``proven`` tells which rows needed none.
 
 Clusters that cross tiles are joined through the points that both tiles saw, by ``connected_groups``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctum.functions.names import finite
 from punctum.llm.groups import connected_groups
-from punctum.plans.shared import written_once
-from punctum.plans.tiling import SPLIT, tiled
-
-#: Pairs compared at once, which bounds the memory of a tile.
-PAIRS = 1 << 21
+from punctum.operators.tileclusters import PAIRS, Columns, Kernel, TileClusters, among_candidates, clusters_by_tiles, completed, joined
 
 
 @dataclass(frozen=True)
 class ClusterParams:
     """eps: largest distance of near points; min_points: near points, itself included, that make one central;
     neighbours: nearest nodes kept in the descent; rounds: most rounds of the descent; width: of a tile; most: rows of a
-    tile above which it is cut."""
+    tile above which copies are collapsed and it is cut."""
 
     eps: float = 1.5
     min_points: int = 3
     neighbours: int = 6
     rounds: int = 6
-    width: float = 256.0
+    width: float = 160.0
     most: int = 400_000
 
 
-class Columns:
-    """Nodes sorted by block and by columns of the x-y grid, so that all within ``eps`` of a node lie in three runs."""
-
-    def __init__(self, block: np.ndarray, xyz: np.ndarray, eps: float):
-        self.eps2 = eps * eps
-        ix, iy = (np.floor(xyz[:, k] / eps).astype(np.int64) for k in (0, 1))
-        ix -= ix.min(initial=0) - 1
-        iy -= iy.min(initial=0) - 1
-        self.rows = int(iy.max(initial=0)) + 3
-        self.across = int(ix.max(initial=0)) + 3
-        self.key = (block.astype(np.int64) * self.across + ix) * self.rows + iy
-        self.order = np.argsort(self.key, kind="stable")
-        self.sorted = self.key[self.order]
-        self.block, self.xyz = block, xyz
-
-    def across_order(self) -> np.ndarray:
-        """Nodes by block, then by strips of y, then by x."""
-        return np.lexsort((self.xyz[:, 0], np.floor(self.xyz[:, 1] / self.eps2**0.5), self.block))
-
-    def runs(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last place, in sorted order, of each node's three runs."""
-        at = self.key[nodes][:, None] + np.array([-self.rows, 0, self.rows])
-        return np.searchsorted(self.sorted, at - 1, "left"), np.searchsorted(self.sorted, at + 1, "right")
-
-    def candidates(self, weight: np.ndarray) -> np.ndarray:
-        """Weight of the nodes in each node's runs: no fewer points than are near it."""
-        total = np.concatenate([[0], np.cumsum(weight[self.order])])
-        lo, hi = self.runs(np.arange(len(self.key)))
-        return (total[hi] - total[lo]).sum(axis=1)
-
-    def near(self, nodes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All (node, other) within eps, the node itself included, in bounded batches."""
-        lo, hi = self.runs(nodes)
-        lo, size, who = lo.ravel(), (hi - lo).ravel(), np.repeat(nodes, 3)
-        upto = np.concatenate([[0], np.cumsum(size)])
-        start = 0
-        while start < len(size):
-            end = max(start + 1, int(np.searchsorted(upto, upto[start] + PAIRS, "right")) - 1)
-            for part in np.array_split(np.arange(upto[start], upto[end]), max(1, int((upto[end] - upto[start]) // PAIRS))):
-                run = np.searchsorted(upto, part, "right") - 1
-                other = self.order[lo[run] + part - upto[run]]
-                node = who[run]
-                d = self.xyz[node] - self.xyz[other]
-                hit = (d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]) <= self.eps2
-                yield node[hit], other[hit]
-            start = end
+def across_order(grid: Columns) -> np.ndarray:
+    """Nodes by block, then by strips of y, then by x."""
+    return np.lexsort((grid.xyz[:, 0], np.floor(grid.xyz[:, 1] / grid.eps), grid.block))
 
 
 def neighbour_descent(grid: Columns, k: int, rounds: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +57,7 @@ def neighbour_descent(grid: Columns, k: int, rounds: int, seed: int = 0) -> tupl
     rng = np.random.default_rng(seed)
     steps = [s for h in range(1, k // 2 + 2) for s in (-h, h)]
     first = [rng.integers(0, n, n)]
-    for order in (grid.order, grid.across_order()):
+    for order in (grid.order, across_order(grid)):
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         first += [order[np.clip(place + s, 0, n - 1)] for s in steps]
@@ -143,23 +95,6 @@ def neighbour_descent(grid: Columns, k: int, rounds: int, seed: int = 0) -> tupl
     return best, dist
 
 
-def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest linked node of each of ``n`` nodes, by minimum labels and pointer jumping."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        while True:
-            up = label[label]
-            if np.array_equal(up, label):
-                break
-            label = up
-        keep = label[a] != label[b]
-        a, b = a[keep], b[keep]
-    return label
-
-
 def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, passes: int = 8, levels: int = 3) -> np.ndarray:
     """A community number for each of ``n`` nodes of the undirected graph (a, b, w) without loops.
 
@@ -204,152 +139,69 @@ def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray,
         ww = np.bincount(inv, ww)
         src, dst, nodes = key // len(used), key % len(used), len(used)
     same = member[a] == member[b]
-    return _components(n, a[same], b[same])
-
-
-@dataclass
-class TileClusters:
-    """What the nodes of a tile came to: central, near weight inside the community, cluster (smallest id of a central point)."""
-
-    central: np.ndarray
-    degree: np.ndarray
-    label: np.ndarray
-    border: tuple[np.ndarray, np.ndarray]
+    return joined(n, a[same], b[same])
 
 
-def cluster_nodes(block: np.ndarray, xyz: np.ndarray, weight: np.ndarray, smallest: np.ndarray, p: ClusterParams) -> TileClusters:
-    """Clusters of weighted nodes. ``smallest``: the least point id of each node; nodes without a cluster have label -1.
-
-    ``border`` holds (node, label) for every node that isn't central and every cluster with a central node near it.
-    """
-    n = len(block)
-    none = np.zeros(0, np.int64)
-    result = TileClusters(np.zeros(n, bool), np.zeros(n), np.full(n, -1), (none, none))
-    if not n:
-        return result
-    keep = np.flatnonzero(Columns(block, xyz, p.eps).candidates(weight) >= min(2, p.min_points))
-    if not len(keep):
-        return result
-    grid = Columns(block[keep], xyz[keep], p.eps)
-    w, m = weight[keep], len(keep)
+def graph_edges(grid: Columns, p: ClusterParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, squared distance) of the near pairs that the descent found, each once."""
+    m = len(grid.key)
     index, d2 = neighbour_descent(grid, p.neighbours, p.rounds)
     near = d2 <= grid.eps2
     src, dst, dd = np.repeat(np.arange(m), near.sum(axis=1)), index[near], d2[near]
     a, b = np.minimum(src, dst), np.maximum(src, dst)
     _, one = np.unique(a * m + b, return_index=True)
-    a, b, dd = a[one], b[one], dd[one]
-    tie = w[a] * w[b] / (1.0 + np.sqrt(dd) / p.eps)
-    community = modularity_communities(m, a, b, tie)
-    same = community[a] == community[b]
-    # each point's weight to the points of its community, those at its own position included
-    degree = np.bincount(a[same], tie[same], m) / w + np.bincount(b[same], tie[same], m) / w + (w - 1)
-    # exact check, first part: nodes that the graph doesn't prove central are counted in full
-    count = w + np.bincount(src, w[dst], m).astype(np.int64)
-    open_ = np.flatnonzero(count < p.min_points)
-    count[open_] = 0
-    for node, other in grid.near(open_):
-        count += np.bincount(node, w[other], m).astype(np.int64)
-    central = count >= p.min_points
-    # second part: communities are joined wherever central nodes of two of them are near
-    both = same & central[a] & central[b]
-    piece = _components(m, a[both], b[both])
-    ja, jb = [], []
-    border: list[tuple[np.ndarray, np.ndarray]] = []
-    for node, other in grid.near(np.flatnonzero(central)):
-        link = central[other] & (piece[node] != piece[other])
-        pairs = np.unique(piece[node[link]] * m + piece[other[link]])
-        ja.append(pairs // m)
-        jb.append(pairs % m)
-        edge = ~central[other]
-        border.append((other[edge], node[edge]))
-    ja, jb = (np.concatenate(x) if x else none for x in (ja, jb))
-    cluster = _components(m, ja, jb)[piece]
-    least = np.full(m, np.iinfo(np.int64).max)
-    np.minimum.at(least, cluster[central], smallest[keep][central])
-    label = np.where(central, least[cluster], -1)
-    result.central[keep], result.degree[keep], result.label[keep] = central, degree, label
-    if border:
-        node, by = (np.concatenate(x) for x in zip(*border))
-        pair = np.unique(np.stack([keep[node], label[by]]), axis=1)
-        result.border = (pair[0], pair[1])
-    return result
-
-
-_SCHEMA = "row_id long, label long, central boolean, shared boolean, owned boolean, degree double"
-
-
-def _tile_kernel(p: ClusterParams):
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        level, tx, ty = (key[i].as_py() for i in range(-3, 0))
-        width = p.width / SPLIT**level
-        ident = t["row_id"].to_numpy()
-        _, one = np.unique(ident, return_index=True)  # a point delivered again counts once
-        t, ident = t.take(one), ident[one]
-        gene = t["block"].combine_chunks().dictionary_encode()
-        block = gene.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        xyz = np.stack([t[c].to_numpy() for c in ("x", "y", "z")], axis=1) + 0.0
-        nodes, first, inv, weight = np.unique(np.column_stack([block, xyz]), axis=0, return_index=True, return_inverse=True, return_counts=True) if len(ident) else (None, *[np.zeros(0, np.int64)] * 3)
-        inv = inv.ravel()
-        smallest = np.full(len(first), np.iinfo(np.int64).max)
-        np.minimum.at(smallest, inv, ident)
-        c = cluster_nodes(block[first], xyz[first], weight, smallest, p)
-        off = xyz[:, :2] - np.array([tx, ty]) * width
-        owned = ((off >= 0) & (off < width)).all(axis=1)
-        deep = ((off > p.eps) & (off < width - p.eps)).all(axis=1)  # no other tile tells its label
-        reach = ((off >= -p.eps) & (off <= width + p.eps)).all(axis=1)  # where central is certain
-        rows = np.flatnonzero(c.central[inv] & reach)
-        label, central = c.label[inv[rows]], np.ones(len(rows), bool)
-        # points that aren't central, with each cluster they touch
-        node, touch = c.border
-        o = np.argsort(inv, kind="stable")
-        lo, hi = np.searchsorted(inv[o], node, "left"), np.searchsorted(inv[o], node, "right")
-        size = hi - lo
-        which = np.repeat(np.arange(len(node)), size)
-        more = o[np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-        mine = owned[more]
-        rows, label = np.concatenate([rows, more[mine]]), np.concatenate([label, touch[which][mine]])
-        central = np.concatenate([central, np.zeros(mine.sum(), bool)])
-        return pa.table({"row_id": ident[rows], "label": label, "central": central, "shared": central & ~deep[rows], "owned": owned[rows], "degree": c.degree[inv[rows]]})
+    return a[one], b[one], dd[one]
+
+
+def graph_clusters(p: ClusterParams) -> Kernel:
+    """A kernel (block, xyz, weight, smallest, least) that starts from the graph of the descent and ranks by its communities."""
+
+    def cluster(grid: Columns, weight: np.ndarray, smallest: np.ndarray, least: np.ndarray) -> TileClusters:
+        n = len(weight)
+        a, b, d2 = graph_edges(grid, p)
+        tie = weight[a] * weight[b] / (1.0 + np.sqrt(d2) / p.eps)
+        community = modularity_communities(n, a, b, tie)
+        same = community[a] == community[b]
+        out = completed(grid, weight, smallest, least, a, b)
+        # each point's weight to the points of its community, those at its own position included
+        out.degree = np.bincount(a[same], tie[same], n) / weight + np.bincount(b[same], tie[same], n) / weight + (weight - 1)
+        return out
+
+    def run(block: np.ndarray, xyz: np.ndarray, weight: np.ndarray, smallest: np.ndarray, least: np.ndarray) -> TileClusters:
+        return among_candidates(block, xyz, weight, smallest, least, p.eps, cluster)
 
     return run
 
 
 def similarity_clusters(points: DataFrame, *, row_id: str, keys: Sequence[str], block: str, xyz: Sequence[str], params: ClusterParams = ClusterParams()) -> DataFrame:
-    """(cluster_id, row_id, central, degree): the points of every cluster, each once.
+    """(cluster_id, row_id, central, degree, proven): the points of every cluster, each once.
 
     Points are near if ``keys`` and ``block`` are equal and they are at most ``eps`` apart. A point with ``min_points``
     near ones, itself included, is central; near central points share a cluster, named by its smallest central row_id; any
     other point near a central one belongs to the cluster of smallest id. ``degree`` is the weight of a point's
-    ties within its community, by which ``typical_members`` describes a cluster.
+    ties within its community, by which ``typical_members`` describes a cluster; ``proven`` is true where the graph alone
+    put the point into a cluster, and false where that took the exact check.
 
     Rows with a NULL key, block or id, or a position that isn't finite, are in no cluster. Rows of one id count once
     and must be equal. No points give no rows.
     """
     x, y, z = xyz
-    p = points.select(F.col(row_id).cast("long").alias("row_id"), *(F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)), F.col(block).cast("string").alias("block"), *(F.col(c).cast("double").alias(n) for c, n in zip((x, y, z), "xyz")))
+    p = points.select(F.col(row_id).cast("long").alias("row_id"), *(F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)), F.col(block).cast("string").alias("block"), *((F.col(c).cast("double") + F.lit(0.0)).alias(n) for c, n in zip((x, y, z), "xyz")))
     names = [f"key_{i}" for i in range(len(keys))]
     p = p.where(finite(F.col("x")) & finite(F.col("y")) & finite(F.col("z")))
-    p = p.where(" AND ".join(f"{c} IS NOT NULL" for c in ("row_id", "block", *names)))
-    cut_up = tiled(p, names, x="x", y="y", row_id="row_id", width=params.width, rim=2 * params.eps, most=params.most)
-    tile_keys = [*names, "level", "tx", "ty"]
-    found = cut_up.groupBy(*tile_keys).applyInArrow(_tile_kernel(params), _SCHEMA)
-    found = written_once(found, "clusters")
-    seen = found.where("shared").select("row_id", "label")
-    least = seen.groupBy("row_id").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("row_id", "low")
-    links = seen.join(least, "row_id").where("label <> low").select(F.col("low").alias("a"), F.col("label").alias("b")).distinct()
-    roots = connected_groups(links).select(F.col("node").alias("label"), "root")
-    rows = found.where("owned").join(roots, "label", "left").withColumn("label", F.coalesce("root", "label"))
-    return rows.groupBy("row_id").agg(F.min("label").alias("cluster_id"), F.max("central").alias("central"), F.max("degree").alias("degree")).select("cluster_id", F.col("row_id").alias(row_id), "central", "degree")
+    p = p.where(" AND ".join(f"{c} IS NOT NULL" for c in ("row_id", "block", *names))).withColumn("least", F.lit(params.min_points).cast("long"))
+    rows = clusters_by_tiles(p, names, graph_clusters(params), connected_groups, eps=params.eps, width=params.width, most=params.most)
+    return rows.select("cluster_id", F.col("row_id").alias(row_id), "central", "degree", "proven")
 
 
 def typical_members(clusters: DataFrame, *, row_id: str, most: int = 3) -> DataFrame:
-    """(cluster_id, size, n_central, typical): each cluster's size and its ``most`` points of highest degree inside their community.
+    """(cluster_id, size, n_central, n_proven, typical): each cluster's size and its ``most`` points of highest degree inside their community.
 
     Ties go to the smaller id. The ranking is cut to ``most`` rows before the shuffle, so no cluster is gathered in a task.
     """
     from pyspark.sql import Window
 
-    size = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.count_if("central").alias("n_central"))
+    size = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.count_if("central").alias("n_central"), F.count_if("proven").alias("n_proven"))
     place = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("degree"), F.asc(row_id)))
     top = clusters.withColumn("place", place).where(F.col("place") <= most)
     top = top.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", row_id))), lambda s: s[row_id]).alias("typical"))

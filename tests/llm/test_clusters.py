@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from punctum.llm.clusters import ClusterParams, Columns, modularity_communities, neighbour_descent, similarity_clusters, typical_members
+from punctum.llm import clusters
+from punctum.llm.clusters import ClusterParams, Columns, graph_clusters, modularity_communities, neighbour_descent, similarity_clusters, typical_members
 
 P = "tx_id long, sample_id string, gene string, x double, y double, z double, label long, level string"
 NAN = float("nan")
@@ -51,8 +52,29 @@ def test_clusters_against_all_pairs(spark, seed, width, most):
 def test_broken_rows_and_ties(spark):
     rows = [(i, "a", "A", 0.0, 0.0, 0.0) for i in (5, 3)] + [(9, "a", "A", 1.5, 0.0, 0.0), (11, "a", "A", 3.0, 0.0, 0.0), (12, "a", "A", 3.0078125, 0.0, 0.0)]
     rows += [(20, "a", "A", NAN, 0.0, 0.0), (21, "a", None, 0.0, 0.0, 0.0), (22, None, "A", 0.0, 0.0, 0.0), (23, "a", "A", float("inf"), 0.0, 0.0), (None, "a", "A", 0.0, 0.0, 0.0)]
-    got = run(spark, rows)
-    assert sorted((r["cluster_id"], r["tx_id"], r["central"]) for r in got.collect()) == [(3, 3, True), (3, 5, True), (3, 9, True), (3, 11, True), (3, 12, False)] or sorted((r["cluster_id"], r["tx_id"]) for r in got.collect()) == brute(rows)
+    got = run(spark, rows).collect()
+    assert sorted((r["cluster_id"], r["tx_id"], r["central"]) for r in got) == [(3, 3, True), (3, 5, True), (3, 9, True), (3, 11, True), (3, 12, False)]
+    assert sorted((r["cluster_id"], r["tx_id"]) for r in got) == brute(rows)
+
+
+def test_crowded_copies_come_back_with_their_cluster(spark):
+    rows = [(i, "a", "A", 1.0, 1.0, 0.0) for i in range(40)] + [(100 + i, "a", "A", 2.0 + i, 1.0, 0.0) for i in range(4)] + [(200 + i, "a", "B", 1.0, 1.0, 0.0) for i in range(30)] + [(300, "a", "B", 40.0, 1.0, 0.0)]
+    got = run(spark, rows + rows[:9], most=10).collect()
+    assert sorted((r["cluster_id"], r["tx_id"]) for r in got) == brute(rows)
+
+
+def test_the_graph_decides_and_the_check_completes(monkeypatch):
+    rng = np.random.default_rng(2)
+    middle = rng.uniform(0, 90, (150, 3)) * np.array([1, 1, 0.1])
+    xyz = np.round(np.concatenate([(middle[:, None] + rng.normal(0, 0.6, (150, 12, 3))).reshape(-1, 3), rng.uniform(0, 90, (2000, 3)) * np.array([1, 1, 0.1])]) * 128) / 128
+    n = len(xyz)
+    args = np.zeros(n, np.int64), xyz, np.ones(n, np.int64), np.arange(n), np.full(n, 3)
+    c = graph_clusters(ClusterParams())(*args)
+    assert c.proven[c.central].mean() > 0.97 and c.proven[c.border[0]].mean() > 0.9 and (c.degree[c.central] > 0).mean() > 0.97
+    monkeypatch.setattr(clusters, "neighbour_descent", lambda grid, k, rounds: (np.full((len(grid.key), k), -1), np.full((len(grid.key), k), np.inf)))
+    bare = graph_clusters(ClusterParams())(*args)
+    assert not bare.proven.any() and not bare.degree.any()
+    assert (bare.label == c.label).all() and set(zip(*map(tuple, bare.border))) == set(zip(*map(tuple, c.border)))
 
 
 def test_no_points(spark):
