@@ -4,22 +4,25 @@
    numbers, units and names are typed placeholders. A name is a word that no passage uses in lower case.
 2. Windows of three words are joined by hash, of their template if two of the three are ordinary words. A stretch of at least 15 words with at most one edit in five keeps
    at least four of its windows (13 of them, less three for each of three edits), so a text and an item that share
-   fewer can't be a case.
-3. The pairs left are aligned word by word, with all edits counted; then the fillers of their slots are compared, which
-   tells re-parameterised passages (each filler replaced by one other throughout) from edited ones.
+   fewer can't be a case. The hash table of a block of items has a bounded size and is sent to all tasks; texts stay where they are.
+3. The templates of the pairs left are aligned, with at most one edit in five. Equal words have equal templates, so no case is lost.
+4. The slots of what aligned are checked. Where the fillers agree but for what the edits allow, the passage is held; where
+   each filler is replaced by one other throughout, it is re-parameterised.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from punctum.llm.words import words
 from punctum.plans.spread import spread
@@ -39,15 +42,15 @@ _NUMBER, _UNIT, _NAME = "<number>", "<unit>", "<name>"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
-def passage_words(passages: list[str | None]) -> list[list[str]]:
-    """The words of each passage, without an opening sentence that at least ``INSTRUCTED`` passages share."""
-    split = [_SENTENCE.split((p or "").strip()) for p in passages]
-    openings = Counter(tuple(words(s[0])) for s in split)
-    out = []
-    for s in split:
-        first = tuple(words(s[0]))
-        out.append(words(" ".join(s[1:] if openings[first] >= INSTRUCTED else s)))
-    return out
+def opening(passage: str | None) -> str:
+    """The words of the passage's first sentence."""
+    return " ".join(words(_SENTENCE.split((passage or "").strip())[0]))
+
+
+def passage_words(passage: str | None, instructed: bool) -> list[str]:
+    """The words of a passage, without its first sentence if that is an instruction."""
+    s = _SENTENCE.split((passage or "").strip())
+    return words(" ".join(s[1:] if instructed else s))
 
 
 def vocabulary(passages: list[str | None]) -> frozenset[str]:
@@ -157,107 +160,132 @@ def _blocks(parts: list[tuple[int, int]], size: int = 2048) -> Iterator[tuple[in
         yield lo, hi
 
 
-def compare(item: list[str], text: list[str], ordinary: frozenset[str]) -> tuple[bool, bool]:
+def compare(item: list[str], text: list[str], ordinary: frozenset[str], hashes: np.ndarray | None = None) -> tuple[bool, bool]:
     """(held, varied): ``text`` holds a stretch of the item's words; or of its template, with other fillers throughout.
 
-    Varied texts replace names, numbers or units one for one: a filler of the item always by the same filler, and
-    two by two different ones.
+    Templates are aligned first, in the parts of the text around shared windows; then their slots decide, in which
+    other fillers are edits. Varied texts replace names, numbers or units one for one: a filler of the item always by the
+    same filler, and two by two different ones. ``hashes`` are the text's windows, if they are known.
     """
-    hashes = window_hashes(text, ordinary)
-    parts = _near(hashes, window_hashes(item, ordinary), REACH)
+    parts = _near(window_hashes(text, ordinary) if hashes is None else hashes, window_hashes(item, ordinary), REACH)
     if not parts:
         return False, False
-    ci, ct = _codes(item, text)
-    if any(holds_stretch(ci, ct[lo:hi_]) for lo, hi_ in _blocks(parts)):
-        return True, False
     ti, tt = template(item, ordinary), template(text, ordinary)
     ki, kt = _codes(ti, tt)
-    for lo, hi_ in _blocks(parts):
-        if holds_stretch(ki, kt[lo:hi_]) and _consistent(item, ti, text[lo:hi_], tt[lo:hi_]):
-            return False, True
-    return False, False
+    aligned = [(lo, hi) for lo, hi in _blocks(parts) if holds_stretch(ki, kt[lo:hi])]
+    if not aligned:
+        return False, False
+    ci, ct = _codes(item, text)
+    if any(holds_stretch(ci, ct[lo:hi]) for lo, hi in aligned):
+        return True, False
+    return False, any(_consistent(item, ti, text[lo:hi], tt[lo:hi]) for lo, hi in aligned)
 
 
 def _consistent(item: list[str], ti: list[str], text: list[str], tt: list[str]) -> bool:
-    """True if the slots on the diagonal with most equal template words map fillers one to one and not all to themselves."""
-    at: dict[str, list[int]] = {}
-    for j, t in enumerate(ti):
-        at.setdefault(t, []).append(j)
-    diagonals = Counter(k - j for k, t in enumerate(tt) for j in at.get(t, ()))
-    if not diagonals:
-        return False
-    shift = min(diagonals, key=lambda s: (-diagonals[s], s))
-    pairs = [(item[j], text[j + shift]) for j, t in enumerate(ti) if t[0] == "<" and 0 <= j + shift < len(tt) and tt[j + shift] == t]
+    """True if aligned slots map fillers one to one, but for one in five, and not all to themselves."""
+    pairs = [(item[m.a + i], text[m.b + i]) for m in SequenceMatcher(None, ti, tt, autojunk=False).get_matching_blocks() for i in range(m.size) if ti[m.a + i][0] == "<"]
     there, back = {}, {}
     clashes = sum(there.setdefault(a, b) != b or back.setdefault(b, a) != a for a, b in pairs)
     return bool(pairs) and clashes <= len(pairs) // PER_EDIT and any(a != b for a, b in pairs)
 
 
-def _text_windows(ordinary: frozenset[str], known: np.ndarray | None):
-    """Window hashes of each text, of these only the ones in ``known`` if that is given."""
+#: Windows of a block of items: its table of 32 bytes a window is sent to every executor.
+BLOCK = 1_000_000
+#: Results of texts kept in a worker, so that copies of a text are compared once for each task.
+KEPT = 50_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [np.unique(window_hashes(words(t), ordinary)) for t in batch["text"].to_pylist()]
-            if known is not None:
-                hashes = [h[_among(h, known)] for h in hashes]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in hashes])]), pa.int32())
-            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *hashes]), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["h1"], batch["h2"], pa.ListArray.from_arrays(offsets, flat)], ["h1", "h2", "hashes"])
 
-    return run
+class ItemBlock:
+    """Items with the hash table of their windows."""
+
+    def __init__(self, ids: list, passages: list[str | None], per_item: list[list[str]]):
+        self.ids, self.words, self.ordinary = ids, per_item, vocabulary(passages)
+        hashes = [np.unique(window_hashes(ws, self.ordinary), return_counts=True) for ws in per_item]
+        flat = np.concatenate([np.zeros(0, np.int64), *(h for h, _ in hashes)])
+        order = np.argsort(flat, kind="stable")
+        self.hash = flat[order]
+        self.times = np.concatenate([np.zeros(0, np.int64), *(n for _, n in hashes)])[order]
+        self.item = np.repeat(np.arange(len(ids)), np.array([len(h) for h, _ in hashes], np.int64))[order]
+
+    def sharing(self, hashes: np.ndarray) -> np.ndarray:
+        """The items that share at least ``SHARED`` windows with a text of these distinct windows: the hash join."""
+        lo, hi = np.searchsorted(self.hash, hashes, "left"), np.searchsorted(self.hash, hashes, "right")
+        lo, size = lo[hi > lo], (hi - lo)[hi > lo]
+        if not len(lo):
+            return lo
+        at = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return np.flatnonzero(np.bincount(self.item[at], self.times[at], len(self.ids)) >= SHARED)
 
+    def found(self, text: str) -> list[tuple[int, bool, bool]]:
+        ws = words(text)
+        hashes = window_hashes(ws, self.ordinary)
+        rows = ((i, *compare(self.words[i], ws, self.ordinary, hashes)) for i in self.sharing(np.unique(hashes)).tolist())
+        return [r for r in rows if r[1] or r[2]]
 
-def _compared(ordinary: frozenset[str]):
+
+def _searched(block, id_type: pa.DataType, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, seen = block.value, OrderedDict()
         for batch in batches:
-            texts, items = batch["text"].to_pylist(), batch["item_words"].to_pylist()
-            ws: dict[str, list[str]] = {}
-            out = []
-            for t, i in zip(texts, items):
-                if t not in ws:
-                    ws = {t: words(t)}
-                out.append(compare(i, ws[t], ordinary))
-            columns = [batch["h1"], batch["h2"], batch["item_id"], pa.array([a for a, _ in out], pa.bool_()), pa.array([b for _, b in out], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "item_id", "held", "varied"])
+            who, which, held, varied = [], [], [], []
+            for n, text in enumerate(batch["text"].to_pylist()):
+                key = xxhash.xxh128_digest(text.encode("utf-8", "surrogatepass"))
+                if key not in seen:
+                    seen[key] = items.found(text)
+                    if len(seen) > KEPT:
+                        seen.popitem(last=False)
+                for i, a, b in seen[key]:
+                    who.append(n)
+                    which.append(items.ids[i])
+                    held.append(a)
+                    varied.append(b)
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(who, pa.int64())), pa.array(which, item_type), pa.array(held, pa.bool_()), pa.array(varied, pa.bool_())], ["id", "item_id", "held", "varied"])
 
     return run
 
 
-#: Up to so many windows of all items, 16 MB of hashes, are sent to the executors to sift the texts' windows before the join.
-SIFTED = 2_000_000
-#: Held-out items that the driver reads at most; a larger set is an error and no reason to drop any.
-MOST_ITEMS = 200_000
+def _openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch["item_id"], batch["passage"], pa.array([opening(p) for p in batch["passage"].to_pylist()], pa.string())], ["item_id", "passage", "opening"])
+
+
+def item_blocks(items: DataFrame) -> Iterator[ItemBlock]:
+    """The items (item_id, passage) in blocks of at least one item and, unless that is longer, at most ``BLOCK`` windows.
+
+    A first sentence that at least ``INSTRUCTED`` items share is their instruction; these are counted in Spark. The driver
+    reads a partition of items and keeps a block at a time, so their number has no bound.
+    """
+    kind = items.schema["item_id"].dataType.simpleString()
+    opened = items.distinct().mapInArrow(_openings, f"item_id {kind}, passage string, opening string")
+    shared = opened.groupBy("opening").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= INSTRUCTED)
+    rows = opened.join(shared, "opening", "left").select("item_id", "passage", F.col("n").isNotNull().alias("instructed"))
+    ids, passages, per_item, size = [], [], [], 0
+    for r in rows.toLocalIterator():
+        ws = passage_words(r["passage"], r["instructed"])
+        if size and size + len(ws) > BLOCK:
+            yield ItemBlock(ids, passages, per_item)
+            ids, passages, per_item, size = [], [], [], 0
+        ids.append(r["item_id"])
+        passages.append(r["passage"])
+        per_item.append(ws)
+        size += len(ws)
+    yield ItemBlock(ids, passages, per_item)
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, *, row_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
     """(row_id, item_id, held, varied) for every document and item whose passage it holds, or holds with other slot fillers.
 
-    Copies of a text are compared once. NULL, empty and blank texts and passages hold nothing, passages under 15 words are
-    no cases; repeated rows give one row. The set of items is read by the driver, at most ``MOST_ITEMS``; documents aren't.
+    NULL, empty and blank texts and passages hold nothing, passages under 15 words are no cases; repeated rows give one
+    row. Texts are read once for each block of items and never shuffled, but for a few files spread over the cores. A name
+    is a word that no passage of its block writes in lower case; that matters to ``varied`` alone.
     """
-    spark = documents.sparkSession
-    held_out = items.select(item_id, passage).distinct().limit(MOST_ITEMS + 1).collect()
-    if len(held_out) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} items")
-    passages = [r[1] for r in held_out]
-    ordinary = vocabulary(passages)
-    per_item = passage_words(passages)
-    kind = items.schema[item_id].dataType.simpleString()
-    rows = [(r[0], ws, list(Counter(window_hashes(ws, ordinary).tolist()).items())) for r, ws in zip(held_out, per_item)]
-    known = spark.createDataFrame(rows, f"item_id {kind}, item_words array<string>, windows array<struct<hash: long, times: int>>")
-    windows = known.select("item_id", F.explode("windows").alias("w")).select("item_id", "w.*")
-
-    sift = np.unique(np.array([h for r in rows for h, _ in r[2]], np.int64))
-    sift = sift if len(sift) <= SIFTED else None
-
+    sc = documents.sparkSession.sparkContext
+    known = items.select(F.col(item_id).alias("item_id"), F.col(passage).cast("string").alias("passage"))
     docs = documents.select(F.col(row_id).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL AND length(text) > 0")
-    docs = docs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), F.col("text"))})
-    found = spread(docs.select("h1", "h2", "text")).mapInArrow(_text_windows(ordinary, sift), "h1 long, h2 long, hashes array<long>")
-    found = found.select("h1", "h2", F.explode("hashes").alias("hash")).join(windows, "hash").distinct()
-    pairs = found.groupBy("h1", "h2", "item_id").agg(F.sum("times").alias("n")).where(F.col("n") >= SHARED).drop("n")
-    texts = docs.select("h1", "h2", "text").join(pairs.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
-    tasks = texts.join(pairs, ["h1", "h2"]).join(known.select("item_id", "item_words"), "item_id")
-    compared = tasks.select("h1", "h2", "text", "item_id", "item_words").mapInArrow(_compared(ordinary), f"h1 long, h2 long, item_id {kind}, held boolean, varied boolean")
-    compared = compared.where("held OR varied")
-    return docs.select("id", "h1", "h2").join(compared, ["h1", "h2"]).select(F.col("id").alias(row_id), F.col("item_id").alias(item_id), "held", "varied").distinct()
+    types = [docs.schema["id"].dataType, known.schema["item_id"].dataType]
+    schema = f"id {types[0].simpleString()}, item_id {types[1].simpleString()}, held boolean, varied boolean"
+    docs, found = spread(docs), None
+    for block in item_blocks(known):
+        here = docs.mapInArrow(_searched(sc.broadcast(block), *map(to_arrow_type, types)), schema)
+        found = here if found is None else found.unionByName(here)
+    return found.distinct().select(F.col("id").alias(row_id), F.col("item_id").alias(item_id), "held", "varied")

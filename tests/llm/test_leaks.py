@@ -1,8 +1,10 @@
 import random
+import re
 
 import pytest
 
-from punctum.llm.leaks import compare, leaked_items, passage_words, vocabulary
+from punctum.llm import leaks
+from punctum.llm.leaks import ItemBlock, compare, item_blocks, leaked_items, opening, passage_words, vocabulary
 from punctum.llm.words import words
 
 ASK = "Read the passage and then answer the question that follows it. "
@@ -21,7 +23,7 @@ def passage(i):
 
 ITEMS = [(i, (ASK if i % 2 else "") + passage(i)) for i in range(12)]
 ORDINARY = vocabulary([p for _, p in ITEMS])
-WORDS = passage_words([p for _, p in ITEMS])
+WORDS = [passage_words(p, p.startswith(ASK)) for _, p in ITEMS]
 
 
 def found(spark, texts, items=ITEMS):
@@ -64,15 +66,45 @@ def test_broken_words():
     assert words(None) == words(" ") == []
 
 
-def test_other_slot_fillers(spark):
-    text = ITEMS[2][1]
-    varied = text.replace("Zor", "Mek").replace("nx", "qua").replace("ny", "que").replace("nz", "qui")
-    import re
-
-    varied = re.sub(r"\d+", lambda m: str(int(m.group()) + 100), varied)
-    mixed = " ".join(w if k % 4 else f"slip{k}" for k, w in enumerate(varied.split()))
-    got = found(spark, [varied, mixed])
-    assert got.get((0, 2), (False, False)) in ((True, False), (False, True))
+def slotted(i, names, numbers):
+    rng = random.Random(i)
+    pick = lambda: rng.choice(NOUNS)
+    return " ".join(f"the {pick()} {rng.choice(names)} {rng.choice(VERBS)} under {rng.choice(numbers)}" for _ in range(9))
+
+
+def test_planted_questions_with_other_slots_are_told_from_held_ones(spark):
+    items = [(i, slotted(i, ["Zorban", "Xilut", "Prask"], [12, 35, 78])) for i in range(4)]
+    swap = {"Zorban": "Mekun", "Xilut": "Dorra", "Prask": "Vint", "12": "13", "35": "64", "78": "90"}
+    other = [" ".join(swap.get(w, w) for w in p.split()) for _, p in items]
+    for k, t in enumerate(other):  # every second name also changes within one text: no mapping fits
+        names = iter([f"Um{chr(97 + n)}k" for n in range(26)])
+        other[k] = t if k < 3 else " ".join(next(names) if w[0].isupper() or w.isdigit() else w for w in t.split())
+    texts = [f"note {t} end" for t in other] + [f"note {p} end" for _, p in items]
+    got = found(spark, texts, items)
+    assert [got.get((i, i)) for i in range(3)] == [(False, True)] * 3 and not got.get((3, 3), (False, False))[0]
+    assert [got.get((i + 4, i)) for i in range(4)] == [(True, False)] * 4
+
+
+def test_rows_come_through_templates_and_slots(monkeypatch):
+    block = ItemBlock([i for i, _ in ITEMS], [p for _, p in ITEMS], WORDS)
+    text = " ".join(WORDS[2][:20])
+    assert [r[0] for r in block.found(text)] == [2]
+    monkeypatch.setattr(leaks, "template", lambda ws, ordinary: ["<name>"] + [f"t{k}" for k in range(len(ws) - 1)] if ws is WORDS[2] else ["no"] * len(ws))
+    assert block.found(text) == []
+
+
+def test_any_number_of_items_comes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "BLOCK", 100)
+    e = spark.createDataFrame([*ITEMS, (99, None)] * 2, "item_id long, passage string")
+    blocks = list(item_blocks(e))
+    assert len(blocks) > 3 and sorted(i for b in blocks for i in b.ids) == [*range(12), 99]
+    assert {i: w for b in blocks for i, w in zip(b.ids, b.words)}[1] == WORDS[1]
+    assert opening(ITEMS[1][1]) == " ".join(words(ASK))
+    got = found(spark, [ITEMS[i][1] for i in (3, 4)])
+    assert {k for k, (h, _) in got.items() if h} == {(0, 3), (1, 4)}
+
+
+def test_slots_one_for_one():
     item, ordinary = "aa bb Xim cc dd Xim ee ff 12 gg hh Yol ii jj kk ll mm Yol nn".split(), frozenset("aa bb cc dd ee ff gg hh ii jj kk ll mm nn".split())
     low = [w.lower() for w in item]
     swap = {"xim": "rud", "yol": "vep", "12": "31"}
