@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_PARTS = ("relational", "spatial", "detection", "profiles", "statistics", "subtypes", "simulation")
+_PARTS = ("relational", "spatial", "detection", "profiles", "statistics", "subtypes", "simulation", "sweeps")
 
 
 def collected() -> tuple[dict, dict]:

@@ -12,7 +12,6 @@ from punctum.functions import geometry as G
 from punctum.operators import density as D
 from punctum.operators.merge import MergeRule, merged_spheres
 from punctum.operators.proximity import points_in_spheres
-from punctum.operators.spatial import touching_spheres
 from punctum.plans.shared import written_once
 from punctum.sources import table
 
@@ -113,13 +112,7 @@ def _volumes(g, t):
 
 
 def m02_volumes(spark, d):
-    """Volumes and shared volumes of touching spheres, and their overlap measures."""
-    g = granules(spark, d).where("sphere_r <= 10 AND sphere_r > 0")
-    return _volumes(g, touching_spheres(g.where("gene < 'H'"), g.where("gene >= 'H'")))
-
-
-def m02_volumes_all(spark, d):
-    """The same for touching spheres of any two genes and any radius above 0."""
+    """Volumes and shared volumes of touching spheres of different genes, and their overlap measures."""
     g = granules(spark, d).where("sphere_r > 0")
     return _volumes(g, touching_pairs(g))
 
@@ -137,6 +130,7 @@ m04_volume, m05_jaccard, m06_dice = _merged_by("volume", 0.5), _merged_by("jacca
 
 
 def m09_unmerged(spark, d):
+    """Spheres of all markers put together without a merge."""
     g = granules(spark, d)
     return g.where("gene < 'H'").unionByName(g.where("gene >= 'H'")).groupBy("gene").agg(F.count(F.lit(1)).alias("n"))
 
@@ -163,7 +157,7 @@ wa AS (SELECT u AS root, u AS node FROM co UNION SELECT wa.root, ed.v FROM wa JO
 cm AS MATERIALIZED (SELECT cluster, node AS tx_id, TRUE AS central FROM cg UNION ALL SELECT min(cluster), nb.u, FALSE FROM nb JOIN cg ON nb.v = cg.node WHERE nb.u NOT IN (SELECT u FROM co) GROUP BY nb.u)"""
 _GRID = "b AS (SELECT sample_id, floor(min(global_x)) AS x0, greatest(ceil(max(global_x)) - floor(min(global_x)), 1) AS nx, floor(min(global_y)) AS y0, greatest(ceil(max(global_y)) - floor(min(global_y)), 1) AS ny FROM tx GROUP BY sample_id), ar AS (SELECT sample_id, count(*) AS area FROM (SELECT DISTINCT tx.sample_id, least(floor(global_x - x0), nx - 1) AS ix, least(floor(global_y - y0), ny - 1) AS iy FROM tx JOIN b ON tx.sample_id = b.sample_id) GROUP BY sample_id)"
 _PAIRS = """pr AS (SELECT a.sphere_id AS a_id, b.sphere_id AS b_id, a.sphere_r AS ra, b.sphere_r AS rb, sqrt((a.sphere_x - b.sphere_x) * (a.sphere_x - b.sphere_x) + (a.sphere_y - b.sphere_y) * (a.sphere_y - b.sphere_y) + (a.sphere_z - b.sphere_z) * (a.sphere_z - b.sphere_z)) AS d
- FROM gr a JOIN gr b ON a.sample_id = b.sample_id AND a.gene < 'H' AND b.gene >= 'H' AND a.sphere_r <= 10 AND b.sphere_r <= 10 AND a.sphere_r > 0 AND b.sphere_r > 0),
+ FROM gr a JOIN gr b ON a.sample_id = b.sample_id AND a.sphere_id < b.sphere_id AND a.gene <> b.gene AND a.sphere_r > 0 AND b.sphere_r > 0),
 vo AS (SELECT *, 4.0 / 3.0 * pi() * ra ** 3 AS va, 4.0 / 3.0 * pi() * rb ** 3 AS vb, CASE WHEN d <= abs(ra - rb) THEN 4.0 / 3.0 * pi() * least(ra, rb) ** 3 ELSE pi() * (ra + rb - d) ** 2 * (d * d + 2 * d * (ra + rb) - 3 * (ra - rb) ** 2) / (12 * d) END AS sv FROM pr WHERE d < ra + rb)"""
 
 SQL = {
@@ -187,6 +181,3 @@ ps AS (SELECT count(DISTINCT target) AS genes, count(*) AS n FROM h GROUP BY sph
 SELECT (SELECT round(avg(n), 6) FROM pt) AS mean_spheres, (SELECT round(avg(CASE WHEN n = 1 THEN 1 ELSE 0 END), 6) FROM pt) AS share_1, (SELECT round(avg(CASE WHEN n = 2 THEN 1 ELSE 0 END), 6) FROM pt) AS share_2, (SELECT round(avg(CASE WHEN n >= 3 THEN 1 ELSE 0 END), 6) FROM pt) AS share_3,
  (SELECT round(avg(CASE WHEN own = 1 AND crs = 1 THEN 1 ELSE 0 END), 6) FROM pt) AS own_and_cross, (SELECT round(avg(genes), 6) FROM ps) AS mean_genes, (SELECT round(avg(n), 6) FROM ps) AS mean_readings"""),
 }
-
-_SIDES = "a.gene < 'H' AND b.gene >= 'H' AND a.sphere_r <= 10 AND b.sphere_r <= 10"
-SQL |= {"m02_volumes_all": SQL["m02_volumes"].replace(_SIDES, "a.sphere_id < b.sphere_id AND a.gene <> b.gene")}

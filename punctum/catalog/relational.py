@@ -47,17 +47,8 @@ def a09_discovered_files(spark, d):
     return points.where("scenario IS NOT NULL AND seed IS NOT NULL").groupBy("scenario", "seed").agg(F.countDistinct("file_path").alias("n_files"))
 
 
-def _rewritten(spark, p):
-    return spark.read.parquet(files.write_simulated(p, staging_path(spark, "sim"), is_3d=True, extra=["granule_id"]))
-
-
 def a11_simulated_data(spark, d):
-    return _rewritten(spark, table(spark, d, "simulated_parquet").where("file_path LIKE 'rerun/%'"))
-
-
-def a11_all_simulated_data(spark, d):
-    """The same for points of every path layout."""
-    return _rewritten(spark, table(spark, d, "simulated_parquet"))
+    return spark.read.parquet(files.write_simulated(table(spark, d, "simulated_parquet"), staging_path(spark, "sim"), is_3d=True, extra=["granule_id"]))
 
 
 def a12_tile_shards(spark, d):
@@ -315,8 +306,7 @@ SQL = {
     "a04_matrix_store": sql("SELECT gene, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_cells FROM (SELECT cell_id, target AS gene, count(*) AS n FROM tx WHERE cell_id IN (SELECT cell_id FROM ce) GROUP BY ALL) GROUP BY gene"),
     "a08_atomic_write": sql("SELECT sphere_id, gene, sphere_r FROM gr"),
     "a09_discovered_files": f"SELECT sc AS scenario, sd AS seed, count(DISTINCT file_path) AS n_files FROM {_SIM} WHERE sd IS NOT NULL GROUP BY ALL",
-    "a11_simulated_data": "SELECT global_x AS x, global_y AS y, global_z AS z, gene, granule_id FROM simulated_parquet WHERE file_path LIKE 'rerun/%'",
-    "a11_all_simulated_data": "SELECT global_x AS x, global_y AS y, global_z AS z, gene, granule_id FROM simulated_parquet",
+    "a11_simulated_data": "SELECT global_x AS x, global_y AS y, global_z AS z, gene, granule_id FROM simulated_parquet",
     "a12_tile_shards": sql("""b AS (SELECT sample_id, min(global_x) x0, min(global_y) y0, max(global_x) x1, max(global_y) y1 FROM tx GROUP BY sample_id)
 SELECT tx.sample_id, CAST(least(floor((global_y - y0) / 100), greatest(ceil((y1 - y0) / 100), 1) - 1) AS INT) AS tile_row, CAST(least(floor((global_x - x0) / 100), greatest(ceil((x1 - x0) / 100), 1) - 1) AS INT) AS tile_col, count(*) AS n_tx FROM tx JOIN b ON tx.sample_id = b.sample_id GROUP BY ALL"""),
     "b01_members": sql(f"SELECT sample_id, target, count(*) AS n FROM tx WHERE target IN {_IN} GROUP BY ALL"),

@@ -38,11 +38,6 @@ def c03_buffered_profile(spark, d):
     return points_in_spheres(readings(spark, d), g, sphere_xyz=("sphere_x", "sphere_y", "layer_z"), radius="reach", carry=["target"]).groupBy("sphere_id", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-def c04_touching(spark, d):
-    g = granules(spark, d).where("sphere_r <= 10")
-    return S.touching_spheres(g.where("gene < 'H'"), g.where("gene >= 'H'")).select("a_id", "b_id", r6("distance").alias("distance"))
-
-
 def touching_pairs(g):
     """(a_id, b_id, distance) of all touching spheres of different genes, the smaller id first."""
     gene = lambda s: g.select(F.col("sphere_id").alias(f"{s}_id"), F.col("gene").alias(f"{s}_gene")).distinct()
@@ -50,7 +45,7 @@ def touching_pairs(g):
     return pairs.where("a_gene <> b_gene").select("a_id", "b_id", "distance")
 
 
-def c04_touching_all(spark, d):
+def c04_touching(spark, d):
     """Touching spheres of different genes, of any radius."""
     return touching_pairs(granules(spark, d)).select("a_id", "b_id", r6("distance").alias("distance"))
 
@@ -62,13 +57,7 @@ def _own_points(spark, d, g, pairs):
 
 
 def c05_own_points_of_pairs(spark, d):
-    """For every touching pair, the readings of each sphere's own gene in either of them, repeated readings kept."""
-    g = granules(spark, d).where("sphere_r <= 10")
-    return _own_points(spark, d, g, S.touching_spheres(g.where("gene < 'H'"), g.where("gene >= 'H'")))
-
-
-def c05_own_points_of_all_pairs(spark, d):
-    """The same for touching spheres of any two genes and any radius."""
+    """For every touching pair of different genes, the readings of each sphere's own gene in either of them, repeated readings kept."""
     g = granules(spark, d)
     return _own_points(spark, d, g, touching_pairs(g))
 
@@ -230,11 +219,6 @@ SETTINGS = [("default", 1.0, None), ("wide", 1.2, None), ("narrow", 0.8, None),
 
 def g19_radius_settings(spark, d):
     """Readings, control ratio and in-soma ratio of each granule at four radius settings; "fixed" is the median radius."""
-    return _radius_settings(spark, d, granules(spark, d).where("sphere_r <= 10"))
-
-
-def g19_radius_settings_all(spark, d):
-    """The same for granules of any radius."""
     return _radius_settings(spark, d, granules(spark, d))
 
 
@@ -273,7 +257,7 @@ _D3 = "(g.sphere_x - t.global_x) * (g.sphere_x - t.global_x) + (g.sphere_y - t.g
 _IN = f"g.sample_id = t.sample_id AND t.global_x BETWEEN g.sphere_x - g.sphere_r AND g.sphere_x + g.sphere_r AND {_D3.format(z='g.sphere_z')} <= g.sphere_r * g.sphere_r"
 _INL = f"g.sample_id = t.sample_id AND t.global_x BETWEEN g.sphere_x - g.sphere_r AND g.sphere_x + g.sphere_r AND {_D3.format(z='g.layer_z')} <= g.sphere_r * g.sphere_r"
 _TOUCH = """pr AS MATERIALIZED (SELECT a.sphere_id AS a_id, b.sphere_id AS b_id, sqrt((a.sphere_x - b.sphere_x) * (a.sphere_x - b.sphere_x) + (a.sphere_y - b.sphere_y) * (a.sphere_y - b.sphere_y) + (a.sphere_z - b.sphere_z) * (a.sphere_z - b.sphere_z)) AS distance,
- a.sphere_r + b.sphere_r AS reach FROM gr a JOIN gr b ON a.sample_id = b.sample_id AND a.gene < 'H' AND b.gene >= 'H' AND a.sphere_r <= 10 AND b.sphere_r <= 10
+ a.sphere_r + b.sphere_r AS reach FROM gr a JOIN gr b ON a.sample_id = b.sample_id AND a.sphere_id < b.sphere_id AND a.gene <> b.gene
  AND abs(a.sphere_x - b.sphere_x) <= a.sphere_r + b.sphere_r AND abs(a.sphere_y - b.sphere_y) <= a.sphere_r + b.sphere_r)"""
 _SO = f"so AS (SELECT DISTINCT cell_id, sample_id, global_x, global_y FROM ce WHERE cell_type IN {_SOMA})"
 _D2 = "sqrt((g.sphere_x - {a}.global_x) * (g.sphere_x - {a}.global_x) + (g.sphere_y - {a}.global_y) * (g.sphere_y - {a}.global_y))"
@@ -295,7 +279,7 @@ SQL = {
     "c02_control_counts": sql(f"{_C02} SELECT sphere_id, n_controls FROM cc"),
     "c03_buffered_profile": sql(f"SELECT g.sphere_id, t.target, count(*) AS n FROM gr g JOIN tx t ON {_INL.replace('g.sphere_r', '(g.sphere_r + 0.5)')} GROUP BY ALL"),
     "c04_touching": sql(f"{_TOUCH} SELECT a_id, b_id, round(distance, 6) AS distance FROM pr WHERE distance < reach"),
-    "c05_own_points_of_pairs": sql(f"""{_TOUCH}, own AS (SELECT g.sphere_id, t.tx_id FROM gr g JOIN tx t ON {_IN} AND t.target = g.gene AND g.sphere_r <= 10)
+    "c05_own_points_of_pairs": sql(f"""{_TOUCH}, own AS (SELECT g.sphere_id, t.tx_id FROM gr g JOIN tx t ON {_IN} AND t.target = g.gene)
 SELECT a_id, b_id, count(*) AS n_points FROM (SELECT a_id, b_id, tx_id FROM pr JOIN own ON a_id = sphere_id WHERE distance < reach UNION ALL SELECT a_id, b_id, tx_id FROM pr JOIN own ON b_id = sphere_id WHERE distance < reach) GROUP BY ALL"""),
     "c06_strictly_inside": sql(f"{_SO} SELECT DISTINCT s.spot_id, so.cell_id FROM so JOIN sp s ON s.sample_id = so.sample_id AND abs(so.global_x - s.global_x) < 25 AND abs(so.global_y - s.global_y) < 25"),
     "c07_half_open": sql(_C07),
@@ -331,8 +315,8 @@ SELECT sp.spot_id, coalesce(n, 0) AS n_cells, CASE WHEN n > 0 THEN 1 ELSE 0 END
     "g07_area_density": sql(f"{_G06} SELECT brain_area, round(avg(n), 6) AS density, count(*) AS n_spots FROM tg WHERE brain_area IS NOT NULL GROUP BY brain_area"),
     "g10_subtype_density": sql(f"{_SUB} SELECT sample_id, brain_area, subtype, round(avg(n), 6) AS density, count(*) AS n_spots FROM sc GROUP BY sample_id, brain_area, subtype"),
     "g11_subtype_counts": sql(f"{_SUB} SELECT spot_id, brain_area, subtype, n FROM sc"),
-    "g19_radius_settings": sql(f"""md AS (SELECT median(sphere_r) AS m FROM gr WHERE sphere_r <= 10), gs AS (SELECT gr.* EXCLUDE (sphere_r), k.setting, CASE k.setting WHEN 'default' THEN sphere_r WHEN 'wide' THEN sphere_r * 1.2::DOUBLE WHEN 'narrow' THEN sphere_r * 0.8::DOUBLE ELSE m END AS sphere_r
- FROM gr, md, (SELECT unnest(['default', 'wide', 'narrow', 'fixed']) AS setting) k WHERE sphere_r <= 10),
+    "g19_radius_settings": sql(f"""md AS (SELECT median(sphere_r) AS m FROM gr), gs AS (SELECT gr.* EXCLUDE (sphere_r), k.setting, CASE k.setting WHEN 'default' THEN sphere_r WHEN 'wide' THEN sphere_r * 1.2::DOUBLE WHEN 'narrow' THEN sphere_r * 0.8::DOUBLE ELSE m END AS sphere_r
+ FROM gr, md, (SELECT unnest(['default', 'wide', 'narrow', 'fixed']) AS setting) k),
 h AS (SELECT g.sphere_id, g.setting, count(*) AS n, count(*) FILTER (t.target IN (SELECT gene FROM negative_controls)) AS nc, sum(t.overlaps_nucleus) AS soma FROM gs g JOIN tx t ON {_INL} GROUP BY g.sphere_id, g.setting)
 SELECT gs.sphere_id, gs.setting, coalesce(h.n, 0) AS n, round(coalesce(nc / h.n, 0), 6) AS nc_ratio, round(soma / h.n, 6) AS in_soma FROM gs LEFT JOIN h ON gs.sphere_id = h.sphere_id AND gs.setting = h.setting"""),
     "g21_tile_gene_sums": sql(f"""f AS (SELECT sphere_id, min(spot_id) AS spot_id FROM ({_C07}) GROUP BY sphere_id)
@@ -340,10 +324,3 @@ SELECT f.spot_id, t.target, count(*) AS n FROM f JOIN gr g ON f.sphere_id = g.sp
     "g22_control_ratio": sql(f"{_C02} SELECT sphere_id, round(n_controls / size, 6) AS nc_ratio FROM cc WHERE size > 0"),
     "n15_subdivided": sql("SELECT spot_id || '_25um_q' || i AS spot_id, global_x + dx AS global_x, global_y + dy AS global_y, sample_id FROM sp, (SELECT unnest([0, 1, 2, 3]) AS i, unnest([-12.5, 12.5, -12.5, 12.5]::DOUBLE[]) AS dx, unnest([-12.5, -12.5, 12.5, 12.5]::DOUBLE[]) AS dy)"),
 }
-
-_ALL_PAIRS = _TOUCH.replace("a.gene < 'H' AND b.gene >= 'H' AND a.sphere_r <= 10 AND b.sphere_r <= 10", "a.sphere_id < b.sphere_id AND a.gene <> b.gene")
-SQL |= {
-    "c04_touching_all": SQL["c04_touching"].replace(_TOUCH, _ALL_PAIRS),
-    "c05_own_points_of_all_pairs": SQL["c05_own_points_of_pairs"].replace(_TOUCH, _ALL_PAIRS).replace(" AND g.sphere_r <= 10", ""),
-    "g19_radius_settings_all": SQL["g19_radius_settings"].replace(" WHERE sphere_r <= 10", ""),
-}

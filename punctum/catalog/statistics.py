@@ -69,7 +69,8 @@ def f15_t_test(spark, d):
 
 
 def f15_t_test_p(spark, d):
-    return S.t_test(_usable(spark, d), F.log1p("size"), "sample_id", "S0001", "S0002", ["gene"])
+    t = S.t_test(_usable(spark, d), F.log1p("size"), "sample_id", "S0001", "S0002", ["gene"])
+    return t.select("gene", r6("p").alias("p"))
 
 
 def f16_bootstrap(spark, d):
@@ -83,8 +84,10 @@ def f17_linear_model(spark, d):
 
 
 def f17_two_terms(spark, d):
+    """Sample and radius as terms, with standard errors and p-values, for genes that determine them."""
     u = _usable(spark, d).where("sample_id IN ('S0001', 'S0002')")
-    return S.linear_model(u, F.log1p("size"), {"second": (F.col("sample_id") == "S0002").cast("int"), "radius": F.col("sphere_r")}, ["gene"])
+    m = S.linear_model(u, F.log1p("size"), {"second": (F.col("sample_id") == "S0002").cast("int"), "radius": F.col("sphere_r")}, ["gene"])
+    return m.where("beta IS NOT NULL").select("gene", "term", *(F.round(c, 5).alias(c) for c in ("beta", "se", "p")))
 
 
 def f18_rank_sum(spark, d):
@@ -99,6 +102,17 @@ _RK = "rk AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY {0}) + (count(*)
 _CORR = "(sum(w * x * y) / sum(w) - sum(w * x) / sum(w) * sum(w * y) / sum(w)) / nullif(sqrt((sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) ** 2) * (sum(w * y * y) / sum(w) - (sum(w * y) / sum(w)) ** 2)), 0)"
 _P = f"{_U}, pv AS (SELECT sample_id, gene, avg(in_soma_ratio) AS p FROM us WHERE in_soma_ratio IS NOT NULL AND NOT isnan(in_soma_ratio) GROUP BY ALL)"
 
+
+
+def _two_sided(t: str, df: str) -> str:
+    """Two-sided p-value of a t statistic with a whole number of degrees of freedom, by its finite series."""
+    a, half = f"atan(abs({t}) / sqrt({df}))", "0.6931471805599453"
+    odd = f"exp(2 * k * {half} + 2 * lgamma(k + 1) - lgamma(2 * k + 2) + (2 * k + 1) * ln(cos({a})))"
+    even = f"exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - 2 * k * {half} + 2 * k * ln(cos({a})))"
+    total = lambda term, n: f"coalesce(list_sum(list_transform(generate_series(0, CAST({n} AS BIGINT)), lambda k: {term})), 0)"
+    return f"CASE WHEN {df} % 2 = 1 THEN 1 - 2 / pi() * ({a} + sin({a}) * {total(odd, f'({df} - 3) / 2')}) ELSE 1 - sin({a}) * {total(even, f'({df} - 2) / 2')} END"
+
+
 SQL = {
     "f03_scaled": sql("SELECT sphere_id, round((sphere_r - min(sphere_r) OVER w) / nullif(max(sphere_r) OVER w - min(sphere_r) OVER w, 0), 6) AS scaled FROM gr WINDOW w AS (PARTITION BY gene)"),
     "f04_weighted_corr": sql(f"{_U} SELECT gene, round({_CORR}, 6) AS corr FROM (SELECT gene, sphere_r AS x, size AS y, comp AS w FROM us) GROUP BY gene"),
@@ -115,9 +129,20 @@ SELECT target, round(log2((a / sum(a) OVER () + 1e-8) / (b / sum(b) OVER () + 1e
     "f15_t_test": sql(f"""{_U}, a AS (SELECT gene, count(*) FILTER (sample_id = 'S0001') n1, count(*) FILTER (sample_id = 'S0002') n2, avg(ln(1 + size)) FILTER (sample_id = 'S0001') m1, avg(ln(1 + size)) FILTER (sample_id = 'S0002') m2,
  var_samp(ln(1 + size)) FILTER (sample_id = 'S0001') v1, var_samp(ln(1 + size)) FILTER (sample_id = 'S0002') v2 FROM us GROUP BY gene)
 SELECT gene, CASE WHEN n1 > 1 AND n2 > 1 THEN round((m1 - m2) / nullif(sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)), 0), 6) END AS t, CAST(n1 + n2 - 2 AS DOUBLE) AS df FROM a"""),
+    "f17_two_terms": sql(f"""{_U}, o AS (SELECT gene, ln(1 + size) AS y, CASE WHEN sample_id = 'S0002' THEN 1.0::DOUBLE ELSE 0 END AS s, sphere_r AS r FROM us WHERE sample_id IN ('S0001', 'S0002')),
+m AS (SELECT gene, count(*)::DOUBLE AS n, avg(y) AS y, avg(s) AS s, avg(r) AS r FROM o GROUP BY gene),
+c AS (SELECT m.gene, any_value(m.n) AS n, any_value(m.y) AS my, any_value(m.s) AS ms, any_value(m.r) AS mr, sum((o.s - m.s) ** 2) AS ss, sum((o.r - m.r) ** 2) AS rr, sum((o.s - m.s) * (o.r - m.r)) AS sr,
+ sum((o.s - m.s) * (o.y - m.y)) AS sy, sum((o.r - m.r) * (o.y - m.y)) AS ry, sum((o.y - m.y) ** 2) AS yy FROM o JOIN m ON o.gene = m.gene GROUP BY m.gene),
+e AS (SELECT *, ss * rr - sr * sr AS d FROM c WHERE n > 3 AND ss * rr - sr * sr > 1e-9 * ss * rr),
+b AS (SELECT *, (sy * rr - ry * sr) / d AS bs, (ry * ss - sy * sr) / d AS br FROM e), v AS (SELECT *, greatest(yy - bs * sy - br * ry, 0) / (n - 3) AS v FROM b),
+q AS (SELECT gene, n - 3 AS dof, unnest(['intercept', 'second', 'radius']) AS term, unnest([my - bs * ms - br * mr, bs, br]) AS beta, unnest([sqrt(v * (1 / n + (ms * ms * rr - 2 * ms * mr * sr + mr * mr * ss) / d)), sqrt(v * rr / d), sqrt(v * ss / d)]) AS se FROM v)
+SELECT gene, term, round(beta, 5) AS beta, round(se, 5) AS se, round({_two_sided("(beta / se)", "dof")}, 5) AS p FROM q"""),
     "f17_linear_model": sql(f"""{_U}, a AS (SELECT sample_id, regr_slope(ln(1 + size), sphere_r) AS b, regr_intercept(ln(1 + size), sphere_r) AS i FROM us WHERE sample_id IN ('S0001', 'S0002') GROUP BY sample_id)
 SELECT sample_id, 'intercept' AS term, round(i, 6) AS beta FROM a UNION ALL SELECT sample_id, 'radius', round(b, 6) FROM a"""),
     "f18_rank_sum": sql(f"""{_U}, r AS (SELECT gene, sample_id, rank() OVER (PARTITION BY gene ORDER BY size) + (count(*) OVER (PARTITION BY gene, size) - 1) / 2 AS k FROM us WHERE sample_id IN ('S0001', 'S0002')),
 a AS (SELECT gene, sum(k) FILTER (sample_id = 'S0001') AS s, count(*) FILTER (sample_id = 'S0001') AS n1, count(*) FILTER (sample_id = 'S0002') AS n2 FROM r GROUP BY gene)
 SELECT gene, round((s - n1 * (n1 + n2 + 1) / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12), 6) AS z FROM a WHERE n1 > 0 AND n2 > 0"""),
 }
+
+_EXACT_T = SQL["f15_t_test"].replace("THEN round((m1", "THEN ((m1").replace(", 6) END AS t", ") END AS t")
+SQL["f15_t_test_p"] = f"SELECT gene, round({_two_sided('t', 'df')}, 6) AS p FROM ({_EXACT_T})"

@@ -58,17 +58,12 @@ def n06_cluster_labels(spark, d):
 MANUAL = [("pre-syn", 0.16), ("post-syn", 0.34), ("dendrites", 0.17), ("mixed", 0.33)]
 
 
-def n08_tuning(spark, d):
-    manual = spark.createDataFrame(MANUAL, "subtype_simple string, share double")
-    return T.tuned(_scores(spark, d), manual, [0.1, 0.2, 0.3, 0.35, 0.4, 0.5], [-0.5, 0.0, 0.5]).select("enrichment", "least", r6("error").alias("error"))
-
-
 ENRICHMENTS = [0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6]
 LEASTS = [-1.0, -0.5, 0.0, 0.5, 1.0, 1.5, 2.0]
 
 
-def n08_tuning_grid(spark, d):
-    """The same over 9 x 7 thresholds."""
+def n08_tuning(spark, d):
+    """Distance of the subtype shares to the manual ones over 9 x 7 thresholds."""
     manual = spark.createDataFrame(MANUAL, "subtype_simple string, share double")
     return T.tuned(_scores(spark, d), manual, ENRICHMENTS, LEASTS).select("enrichment", "least", r6("error").alias("error"))
 
@@ -122,7 +117,7 @@ SQL = {
     "n05_subtypes": sql(f"{_SC} SELECT sphere_id, subtype, {_SIMPLE} AS subtype_simple FROM {_label('sr')}"),
     "n03_cluster_scores": sql(f"{_CL} SELECT cluster, round(pre, 6) AS pre, round(post, 6) AS post, round(dendrite, 6) AS dendrite, round(axon, 6) AS axon FROM cs"),
     "n06_cluster_labels": sql(f"{_CL} SELECT gr.sphere_id, l.subtype FROM gr JOIN {_label('cs')} l ON gr.gene = l.cluster"),
-    "n08_tuning": sql(f"""{_SC}, th AS (SELECT * FROM (SELECT unnest([0.1, 0.2, 0.3, 0.35, 0.4, 0.5]::DOUBLE[]) AS enrichment), (SELECT unnest([-0.5, 0.0, 0.5]::DOUBLE[]) AS least)),
+    "n08_tuning": sql(f"""{_SC}, th AS (SELECT * FROM (SELECT unnest({ENRICHMENTS}::DOUBLE[]) AS enrichment), (SELECT unnest({LEASTS}::DOUBLE[]) AS least)),
 mn AS (SELECT unnest(['pre-syn', 'post-syn', 'dendrites', 'mixed']) AS simple, unnest([0.16, 0.34, 0.17, 0.33]::DOUBLE[]) AS want),
 lb AS (SELECT enrichment, least, {_SIMPLE} AS simple, count(*) AS n FROM {_label("(SELECT * FROM sr, th)", "enrichment", "least")} GROUP BY ALL), sh AS (SELECT *, n / sum(n) OVER (PARTITION BY enrichment, least) AS share FROM lb)
 SELECT th.enrichment, th.least, round(sum((coalesce(share, 0) - want) ** 2), 6) AS error FROM th CROSS JOIN mn LEFT JOIN sh ON sh.enrichment = th.enrichment AND sh.least = th.least AND sh.simple = mn.simple GROUP BY ALL"""),
@@ -130,5 +125,3 @@ SELECT th.enrichment, th.least, round(sum((coalesce(share, 0) - want) ** 2), 6)
     "f21_agreement": sql("""c AS (SELECT gene, comp, count(*) AS n FROM gr GROUP BY ALL), i AS (SELECT sum(n * (n - 1) / 2) AS i, sum(n) AS t FROM c), x AS (SELECT sum(n * (n - 1) / 2) AS x FROM (SELECT sum(n) AS n FROM c GROUP BY gene)), y AS (SELECT sum(n * (n - 1) / 2) AS y FROM (SELECT sum(n) AS n FROM c GROUP BY comp))
 SELECT round((i - x * y / (t * (t - 1) / 2)) / ((x + y) / 2 - x * y / (t * (t - 1) / 2)), 6) AS ari FROM i, x, y"""),
 }
-
-SQL |= {"n08_tuning_grid": SQL["n08_tuning"].replace("[0.1, 0.2, 0.3, 0.35, 0.4, 0.5]::DOUBLE[]", f"{ENRICHMENTS}::DOUBLE[]").replace("[-0.5, 0.0, 0.5]::DOUBLE[]", f"{LEASTS}::DOUBLE[]")}

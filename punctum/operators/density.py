@@ -75,13 +75,14 @@ def least_points(points: DataFrame, p: DetectorParams, keys: Sequence[str], gene
     return joined.select(*keys, gene, F.greatest(quantile(mu), F.lit(p.low_bound).cast("long")).alias("least"))
 
 
-def density_clusters(points: DataFrame, *, eps: float, least: int | DataFrame, groups: Sequence[str] = ("sample_id", "target"), row_id: str = "tx_id", width: float = 160.0, most: int = 400_000) -> DataFrame:
+def density_clusters(points: DataFrame, *, eps: float, least: int | DataFrame, groups: Sequence[str] = ("sample_id", "target"), row_id: str = "tx_id", width: float = 160.0, most: int = 400_000, written: bool = False) -> DataFrame:
     """(groups, cluster, row_id, central): density clusters within each group, named by their least central id.
 
     A point with ``least`` points within ``eps``, itself and copies included, is central. Central points that are near each
     other share a cluster; another point near central ones goes to the cluster of the least id, as it does when
     clusters are grown in row order. ``least`` may be a table of groups with a column least. The last of ``groups`` is
-    held apart within a tile, the others make tiles of their own; tiles of over ``most`` rows are cut up. Rows with a NULL
+    held apart within a tile, the others make tiles of their own; tiles of over ``most`` rows are cut up. ``points`` is read
+    twice, so it is written to the shared folder first, unless it is a table ``written`` already. Rows with a NULL
     group or a position that isn't finite are in no cluster; rows of one ``row_id`` count once and must be equal.
     """
     *outer, inner = groups
@@ -91,7 +92,7 @@ def density_clusters(points: DataFrame, *, eps: float, least: int | DataFrame, g
     for c in "xyz":
         p = p.where(finite(F.col(c)))
     p = p.where(" AND ".join(f"{c} IS NOT NULL" for c in ("row_id", "block", *keys)))
-    rows = clusters_by_tiles(written_once(p, "points"), keys, exact_clusters(eps), components, eps=eps, width=width, most=most, named=True)
+    rows = clusters_by_tiles(p if written else written_once(p, "points"), keys, exact_clusters(eps), components, eps=eps, width=width, most=most, named=True)
     names = [F.col(a).alias(b) for a, b in zip([*keys, "block"], groups)]
     return rows.select(*names, F.col("cluster_id").alias("cluster"), F.col("row_id").alias(row_id), "central")
 
@@ -102,8 +103,12 @@ def _ball_of(support: np.ndarray) -> tuple[np.ndarray, float]:
     if len(support) == 1:
         return base, 0.0
     q = support[1:] - base
-    x = np.linalg.lstsq(2 * q @ q.T, (q * q).sum(axis=1), rcond=None)[0]
-    centre = base + x @ q
+    if len(support) == 2:
+        centre = base + q[0] / 2
+    else:
+        g, b = 2 * q @ q.T, (q * q).sum(axis=1)
+        flat = abs(np.linalg.det(g)) <= 1e-9 * g.diagonal().prod()
+        centre = base + (np.linalg.lstsq(g, b, rcond=None)[0] if flat else np.linalg.solve(g, b)) @ q
     return centre, float(((support - centre) ** 2).sum(axis=1).max())
 
 
@@ -162,7 +167,10 @@ def enclosing_balls(members: DataFrame, by: Sequence[str]) -> DataFrame:
         out = [smallest_ball(np.column_stack(p)) for p in zip(x, y, z)]
         return pd.DataFrame([(*c, r) for c, r in out], columns=["sphere_x", "sphere_y", "sphere_z", "sphere_r"])
 
-    return rim.select(*by, ball(*XYZ).alias("b")).select(*by, "b.*")
+    spark = members.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a row costs far more than its bytes tell, so adaptive execution mustn't merge partitions here
+    return rim.repartition(tasks, *by).select(*by, ball(*XYZ).alias("b")).select(*by, "b.*")
 
 
 def detected_spheres(points: DataFrame, p: DetectorParams, *, markers: Sequence[str] | None = None, keys: Sequence[str] = ("sample_id",), radius_first: bool = False, keep_cell: bool = True) -> DataFrame:
@@ -177,9 +185,10 @@ def detected_spheres(points: DataFrame, p: DetectorParams, *, markers: Sequence[
     k = list(keys)
     pts = points if markers is None else points.where(F.col("target").isin(*markers))
     pts = pts.withColumn("group", F.lit(p.merged_gene_label) if p.merge_genes else F.col("target"))
+    pts = written_once(pts.select(*k, "tx_id", "target", "group", "overlaps_nucleus", "cell_id", *XYZ), "points")  # read by every step below
     least = p.minspl if p.minspl is not None else least_points(pts.drop("target").withColumnRenamed("group", "target"), p, k).withColumnRenamed("target", "group")
-    found = written_once(density_clusters(pts, eps=p.eps, least=least, groups=[*k, "group"]), "members")
-    members = found.join(pts.select("tx_id", "overlaps_nucleus", "cell_id", *XYZ), "tx_id")
+    found = density_clusters(pts, eps=p.eps, least=least, groups=[*k, "group"], written=True)
+    members = written_once(found.join(pts.select("tx_id", "overlaps_nucleus", "cell_id", *XYZ), "tx_id"), "members")
     by = [*k, "group", "cluster"]
     stats = members.groupBy(*by).agg(F.count(F.lit(1)).alias("own"), F.sum("overlaps_nucleus").alias("own_soma"), F.countDistinct(*XYZ).alias("places"), F.mode("cell_id", True).alias("cell_id"))
     balls = enclosing_balls(members.join(stats.where(F.col("places") >= p.low_bound).select(*by), by, "left_semi"), by)

@@ -83,6 +83,25 @@ def smoothed(counts: DataFrame, near: DataFrame, *, tile_id: str, other_id: str,
     return s.join(total, tile_id).select(tile_id, label, (F.col("s") / F.col("total")).alias(value))
 
 
+def smoothed_by_nearest(counts: DataFrame, tiles: DataFrame, k: int, *, tile_id: str, label: str, value: str, keys: Sequence[str], xy: Sequence[str], cell: float) -> DataFrame:
+    """(tile_id, label, value): Gaussian-weighted mean over the ``k`` nearest tiles, the tile itself among them.
+
+    The Gaussian's width is the median of the positive distances, 1 if there is none.
+    """
+    other = f"other_{tile_id}"
+    near = nearest(tiles, tiles, k, left_id=tile_id, right_id=tile_id, keys=keys, left_xyz=xy, right_xyz=xy, cell=cell).withColumnRenamed("distance", "d")
+    sigma = near.agg(F.coalesce(F.median(F.when(F.col("d") > 0, F.col("d"))), F.lit(1.0)).alias("sigma"))
+    return smoothed(counts, near.crossJoin(sigma), tile_id=tile_id, other_id=other, label=label, value=value, weight=F.exp(-F.col("d") * F.col("d") / (2 * F.col("sigma") * F.col("sigma"))))
+
+
+def soft_expression(near: DataFrame, expr: DataFrame, *, tile_id: str, point_id: str, kernel: str, sigma: float) -> DataFrame:
+    """(tile_id, target, value): kernel-weighted expression of the points around each tile centre, as shares of the tile's sum."""
+    w = near.withColumn("w", KERNELS[kernel][0](F.col("d"), sigma))
+    s = w.join(expr, point_id).groupBy(tile_id, "target").agg(F.sum(F.col("w") * F.col("n")).alias("s"))
+    total = F.sum("s").over(Window.partitionBy(tile_id))
+    return s.select(tile_id, "target", F.when(total > 0, F.col("s") / total).otherwise(0.0).alias("value"))
+
+
 def soft_counts(near: DataFrame, *, tile_id: str, label: str, kernel: str, sigma: float) -> DataFrame:
     """(tile_id, label, value): kernel-weighted counts of the points around each tile centre, within the kernel's support."""
     weight, _ = KERNELS[kernel]

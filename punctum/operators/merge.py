@@ -42,6 +42,11 @@ class MergeRule:
     refresh_layer: bool = True
 
 
+def simulation_rule(by: str, share: float, l: float = 1.0, s: float = 1.0, planes: tuple[float, ...] = ()) -> MergeRule:  # noqa: E741
+    """The rule of the simulation study: spheres merge by distance at ``share``, by an overlap at (1 - ``share``) / ``l``."""
+    return MergeRule(by=by, threshold=share if by == "distance" else (1.0 - share) / l, l=l, s=s, planes=planes)
+
+
 def _overlap(d: float, a: float, b: float) -> float:
     """Volume over 4/3 pi that two crossing spheres share."""
     return (a + b - d) ** 2 * (d * d + 2 * d * (a + b) - 3 * (a - b) ** 2) / (16 * d)

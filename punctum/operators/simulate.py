@@ -47,12 +47,16 @@ def background(spark: SparkSession, region: Region, density: float, gene: str, s
     return p.select(F.lit(-1).cast("long").alias("granule_id"), F.lit(gene).alias("target"), (u("x") * region.width).alias("global_x"), (u("y") * region.height).alias("global_y"), _plane(u("z") * region.depth, region).alias("global_z"), F.lit(0).alias("in_nucleus"), F.lit("CSR").alias("type"))
 
 
-def poisson_count(u: Column, mean: Column | float, most: int = 200) -> Column:
-    """Poisson number for the uniform number ``u``, by summing the probabilities up to it; ``most`` at most."""
+def poisson_count(u: Column, mean: Column | float) -> Column:
+    """Poisson number for the uniform number ``u``, by summing the probabilities up to it.
+
+    A number over mean + 10 sqrt(mean) + 50 has a chance under exp(-50), less than the step of ``u``, so the sum ends
+    before it. Probabilities go by their logarithms, which any mean allows.
+    """
     m = mean if isinstance(mean, Column) else F.lit(float(mean))
-    zero = F.struct(F.lit(0).alias("k"), F.exp(-m).alias("p"), F.exp(-m).alias("cdf"))
-    step = lambda a, i: F.when(u <= a["cdf"], a).otherwise(F.struct(i.alias("k"), (a["p"] * m / i).alias("p"), (a["cdf"] + a["p"] * m / i).alias("cdf")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), zero, step)["k"]
+    zero = F.struct(F.lit(0).alias("k"), (-m).alias("lp"), F.exp(-m).alias("cdf"))
+    step = lambda a, i: F.when(u <= a["cdf"], a).otherwise(F.struct(i.alias("k"), (a["lp"] + F.log(m / i)).alias("lp"), (a["cdf"] + F.exp(a["lp"] + F.log(m / i))).alias("cdf")))
+    return F.when(m > 0, F.aggregate(F.sequence(F.lit(1), F.ceil(m + 10 * F.sqrt(m) + 50).cast("int")), zero, step)["k"]).otherwise(0)
 
 
 def aggregates(spark: SparkSession, region: Region, number: int, genes: dict[str, float], *, mean_distance: float, in_nucleus: float, least_genes: int, kind: str, seed: int, first_id: int = 0) -> DataFrame:

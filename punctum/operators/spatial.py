@@ -150,6 +150,12 @@ def grid_counts(points: DataFrame, width: float, keys: Sequence[str] = ()) -> Da
     return out.select(*keys, (F.col("ix") * F.col("ny") + F.col("iy")).alias("spot"), (F.col("x0") + (F.col("ix") + 0.5) * width).alias("global_x"), (F.col("y0") + (F.col("iy") + 0.5) * width).alias("global_y"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def grid_expression(points: DataFrame, width: float, keys: Sequence[str] = (), gene: str = "target") -> DataFrame:
+    """(keys, spot, gene, n): points of each gene in each cell of the grid of ``grid_counts``, which lists the empty cells too."""
+    n = on_grid(points, width, keys).groupBy(*keys, (F.col("ix") * F.col("ny") + F.col("iy")).alias("spot"), gene)
+    return n.agg(F.count(F.lit(1)).alias("n"))
+
+
 def density_maxima(points: DataFrame, width: float, keys: Sequence[str], *, sigma: float, least: float) -> DataFrame:
     """(keys, ix, iy, density): grid cells whose smoothed density reaches ``least`` and is the greatest of the 3 x 3 around them.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -161,22 +161,148 @@ def linear_model(df: DataFrame, y: Column, terms: dict[str, Column], by: Sequenc
     return g.select(*by, F.explode(solve("xx", "xy", "yy", "n", "ok")).alias("r")).select(*by, "r.*")
 
 
+#: P(X <= k) of a Poisson number of mean 1, up to where doubles tell it from 1: draws beyond have no chance at 53 bits.
+_COPIES = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(24)])
+#: Rows times resamples drawn at once.
+_DRAWS = 1 << 21
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective hash of 64-bit numbers (the finaliser of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def bootstrap_mean(df: DataFrame, value: str, row_id: str, by: Sequence[str], *, resamples: int = 500, seed: int = 0, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """(by, low, high): percentile interval of the mean by the Poisson bootstrap.
 
     Every row draws its number of copies for each resample from a hash of its id, so rows stay where they are, groups of
-    any size need no gathering, and a repeated run gives the same interval.
+    any size need no gathering, and a repeated run gives the same interval. Batches are summed by group and resample
+    before the shuffle; no row is multiplied. Rows with a NULL or NaN value count for nothing.
     """
-    cdf, term, total = [], math.exp(-1.0), 0.0
-    for k in range(8):
-        total += term
-        cdf.append(total)
-        term /= k + 1
-    r = df.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(row_id), F.col("__b")), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    copies = sum((F.when(u > c, 1).otherwise(0) for c in cdf[1:]), F.when(u > cdf[0], 1).otherwise(0))
-    means = r.withColumn("__c", copies).groupBy(*by, "__b").agg((F.sum(F.col("__c") * F.col(value)) / F.nullif(F.sum("__c"), F.lit(0))).alias("__m"))
-    return means.groupBy(*by).agg(F.percentile("__m", F.lit(low)).alias("low"), F.percentile("__m", F.lit(high)).alias("high"))
+    keys = list(by)
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    rows = rows.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keys)), F.xxhash64(F.lit(seed), F.col(row_id)).alias("h"), F.col(value).cast("double").alias("v"))
+    names = [f"k{i}" for i in range(len(keys))]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        salt = _mixed(np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for batch in batches:
+            for _, g in batch.groupby(names, dropna=False, sort=False) if names else [(None, batch)]:
+                n, total = np.zeros(resamples), np.zeros(resamples)
+                h, v = g["h"].to_numpy().view(np.uint64), g["v"].to_numpy()
+                for at in np.array_split(np.arange(len(g)), len(g) * resamples // _DRAWS + 1):
+                    u = (_mixed(h[at, None] ^ salt[None]) >> np.uint64(11)) * 2.0**-53
+                    copies = np.searchsorted(_COPIES, u, "right")
+                    n += copies.sum(axis=0)
+                    total += (copies * v[at, None]).sum(axis=0)
+                yield pd.DataFrame({**{c: [g[c].iloc[0]] * resamples for c in names}, "b": np.arange(resamples), "n": n, "total": total})
+
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names), "b int, n double, total double"])
+    means = rows.mapInPandas(partial, schema).groupBy(*names, "b").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
+    out = means.groupBy(*names).agg(F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"))
+    return out.select(*(F.col(a).alias(c) for a, c in zip(names, keys)), "low", "high")
+
+
+def profile_correlation(first: DataFrame, second: DataFrame, genes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(gene, corr): Pearson correlation over all ``rows`` of each gene's counts in two profiles (sphere_id, target, n).
+
+    Absent entries are 0; they enter by the number of rows alone, so nothing dense is made. 1 where a side doesn't vary.
+    """
+    x = first.select("sphere_id", "target", F.col("n").cast("double").alias("x"))
+    y = second.select("sphere_id", "target", F.col("n").cast("double").alias("y"))
+    pairs = x.join(y, ["sphere_id", "target"], "full").fillna(0.0, ["x", "y"])
+    s = pairs.groupBy("target").agg(*(F.sum(e).alias(n) for n, e in (("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") * F.col("x")), ("syy", F.col("y") * F.col("y")), ("sxy", F.col("x") * F.col("y")))))
+    s = s.crossJoin(rows.agg(F.count(F.lit(1)).cast("double").alias("m")))
+    spread = lambda a, b, c: F.col("m") * F.col(a) - F.col(b) * F.col(c)
+    corr = spread("sxy", "sx", "sy") / F.nullif(F.sqrt(spread("sxx", "sx", "sx") * spread("syy", "sy", "sy")), F.lit(0.0))
+    return genes.select(F.col("gene")).distinct().join(s.select(F.col("target").alias("gene"), corr.alias("corr")), "gene", "left").select("gene", F.coalesce("corr", F.lit(1.0)).alias("corr"))
+
+
+def t_test_against_rest(expr: DataFrame, labels: DataFrame, row_id: str, label: str) -> DataFrame:
+    """(label, target, t, df, p): Welch's t-test of each label's values (row_id, target, value) against those of all other rows.
+
+    Absent values are 0 and enter by the number of rows. NULL where a side has under two rows or nothing varies.
+    """
+    size = labels.groupBy(label).agg(F.count(F.lit(1)).cast("double").alias("n1"))
+    total = labels.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    sums = expr.join(labels.select(row_id, label), row_id).groupBy(label, "target").agg(F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("q1"))
+    both = sums.groupBy("target").agg(F.sum("s1").alias("s"), F.sum("q1").alias("q"))
+    g = size.crossJoin(both).crossJoin(total).join(sums, [label, "target"], "left").fillna(0.0, ["s1", "q1"])
+    n2 = F.col("n") - F.col("n1")
+    g = g.withColumns({"n2": n2, "m1": F.col("s1") / F.col("n1"), "m2": (F.col("s") - F.col("s1")) / F.nullif(n2, F.lit(0.0))})
+    var = lambda q, n, m: F.greatest(q - n * m * m, F.lit(0.0)) / F.nullif(n - 1, F.lit(0.0)) / F.nullif(n, F.lit(0.0))
+    g = g.withColumns({"e1": var(F.col("q1"), F.col("n1"), F.col("m1")), "e2": var(F.col("q") - F.col("q1"), F.col("n2"), F.col("m2"))})
+    e = F.col("e1") + F.col("e2")
+    t = (F.col("m1") - F.col("m2")) / F.nullif(F.sqrt(e), F.lit(0.0))
+    dof = e * e / F.nullif(F.col("e1") * F.col("e1") / (F.col("n1") - 1) + F.col("e2") * F.col("e2") / (F.col("n2") - 1), F.lit(0.0))
+    ok = (F.col("n1") > 1) & (F.col("n2") > 1)
+    out = g.select(label, "target", F.when(ok, t).alias("t"), F.when(ok, dof).alias("df"))
+    return out.withColumn("p", F.when(F.col("t").isNotNull(), t_p_value("t", "df")))
+
+
+def pairwise_rand(labels: DataFrame, runs: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, first, second, ari): adjusted Rand index of every two of the label columns ``runs``, in one job."""
+    k = list(by)
+    pairs = [F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(a).alias("a"), F.col(b).alias("b")) for i, a in enumerate(runs) for b in runs[i + 1 :]]
+    n2 = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    each = [*k, "first", "second"]
+    cells = labels.select(*k, F.explode(F.array(*pairs)).alias("p")).select(*k, "p.*").groupBy(*each, "a", "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    side = lambda c, name: cells.groupBy(*each, c).agg(F.sum("n").alias("n")).groupBy(*each).agg(n2("n").alias(name))
+    s = cells.groupBy(*each).agg(n2("n").alias("i"), F.sum("n").alias("total")).join(side("a", "x"), each).join(side("b", "y"), each)
+    expected = F.col("x") * F.col("y") / F.nullif(F.col("total") * (F.col("total") - 1) / 2, F.lit(0.0))
+    top = (F.col("x") + F.col("y")) / 2 - expected
+    return s.select(*each, F.when(F.coalesce(top, F.lit(0.0)) == 0, 1.0).otherwise((F.col("i") - expected) / top).alias("ari"))
+
+
+def cluster_number_sweep(df: DataFrame, features: Sequence[str], numbers: Sequence[int], row_id: str, *, seeds: Sequence[int] = (0, 1, 2, 3, 4)) -> DataFrame:
+    """(k, inertia, silhouette, mean_ari): k-means for each number of clusters.
+
+    Inertia and silhouette are those of the first seed, mean_ari the mean agreement of every two seeds. Only models,
+    of k centres each, come to the driver.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    from punctum.plans.shared import written_once
+
+    spark = df.sparkSession
+    v = VectorAssembler(inputCols=list(features), outputCol="v").transform(written_once(df.select(row_id, *features), "features")).select(row_id, "v")
+    out = []
+    for k in numbers:
+        labels = v
+        for i, seed in enumerate(seeds):
+            model = KMeans(k=k, seed=seed, featuresCol="v", predictionCol=f"s{i}").fit(v)
+            labels = model.transform(labels)
+            if i == 0:
+                inertia = model.summary.trainingCost
+        silhouette = ClusteringEvaluator(featuresCol="v", predictionCol="s0").evaluate(labels)
+        ari = pairwise_rand(labels, [f"s{i}" for i in range(len(seeds))]).agg(F.avg("ari")).first()[0]
+        out.append((k, float(inertia), float(silhouette), ari))
+    return spark.createDataFrame(out, "k int, inertia double, silhouette double, mean_ari double")
+
+
+def mixture_labels(df: DataFrame, features: Sequence[str], k: int, seed: int, row_id: str) -> DataFrame:
+    """(row_id, cluster, probability) by a mixture of ``k`` Gaussians on the columns ``features``."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    v = VectorAssembler(inputCols=list(features), outputCol="__v").transform(df)
+    model = GaussianMixture(k=k, seed=seed, featuresCol="__v", predictionCol="cluster", probabilityCol="__p").fit(v)
+    return model.transform(v).select(row_id, "cluster", F.array_max(vector_to_array("__p")).alias("probability"))
+
+
+def topic_shares(expr: DataFrame, genes: Sequence[str], k: int, seed: int, row_id: str) -> DataFrame:
+    """(row_id, shares): shares of ``k`` topics of the counts (row_id, target, n), by latent Dirichlet allocation."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    wide = expr.groupBy(row_id).agg(F.map_from_entries(F.collect_list(F.struct("target", F.col("n").cast("double")))).alias("m"))  # an entry for each gene of a fixed panel
+    v = wide.select(row_id, array_to_vector(F.transform(F.array(*map(F.lit, genes)), lambda g: F.coalesce(F.element_at("m", g), F.lit(0.0)))).alias("features"))
+    return LDA(k=k, seed=seed, maxIter=10).fit(v).transform(v).select(row_id, vector_to_array("topicDistribution").alias("shares"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:

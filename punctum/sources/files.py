@@ -20,15 +20,24 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 
 def write_parquet_atomic(df: DataFrame, path: str) -> str:
-    """``df`` at ``path``, which appears at once when all files are written; an older table there is replaced."""
+    """``df`` at ``path``, which appears at once when all files are written; an older table there is replaced.
+
+    The older table is moved aside, never deleted, until the new one is in its place, and comes back if that fails. Between
+    the two renames a reader finds no table, as file systems can't swap folders.
+    """
     spark = df.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     staged, final = hadoop.Path(f"{path}.staged"), hadoop.Path(path)
     df.write.mode("overwrite").parquet(str(staged))
     files = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(final, True)
+    aside = hadoop.Path(f"{path}.replaced")
+    files.delete(aside, True)
+    older = files.exists(final) and files.rename(final, aside)
     if not files.rename(staged, final):
+        if older:
+            files.rename(aside, final)
         raise OSError(f"{staged} can't be renamed to {path}")
+    files.delete(aside, True)
     return path
 
 

@@ -84,4 +84,4 @@ def test_the_whole_simulated_table_is_written(spark, monkeypatch):
     rows = [("rerun/a/1/p.parquet", 1.0), ("scenario=a/seed=2/p.parquet", 2.0), (None, 3.0)]
     df = spark.createDataFrame([(f, x, 0.0, 0.0, "g", 1) for f, x in rows], "file_path string, global_x double, global_y double, global_z double, gene string, granule_id long")
     monkeypatch.setattr(relational, "table", lambda *_: df)
-    assert sorted(r["x"] for r in relational.a11_all_simulated_data(spark, None).collect()) == [1.0, 2.0, 3.0]
+    assert sorted(r["x"] for r in relational.a11_simulated_data(spark, None).collect()) == [1.0, 2.0, 3.0]

@@ -87,8 +87,8 @@ def test_registered_sweeps_take_the_whole_grids(spark, monkeypatch):
 
     if not os.path.isdir(DATA):
         pytest.skip("no test tables")
-    assert subtypes.n08_tuning_grid(spark, DATA).select("enrichment", "least").distinct().count() == 9 * 7
-    assert simulation.v14_filter_grid(spark, DATA).select("in_soma_thr", "nc_thr").distinct().count() == 12 * 11
+    assert subtypes.n08_tuning(spark, DATA).select("enrichment", "least").distinct().count() == 9 * 7
+    assert simulation.v14_filter_sweep(spark, DATA).select("in_soma_thr", "nc_thr").distinct().count() == 12 * 11
     asked, settings = {}, []
     monkeypatch.setattr(statistics.S, "bootstrap_mean", lambda *a, **kw: asked.update(kw))
     statistics.f16_bootstrap(spark, DATA)
