@@ -56,7 +56,7 @@ _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _DIGIT = re.compile(r"\d")
 _HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
 _BREAK = re.compile(r"(?<=\w)-[ \t]*\n[ \t>]*(?=[^\W\d_])")
 
 

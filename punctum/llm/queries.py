@@ -44,6 +44,11 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     return typical_members(_clusters(spark, d), row_id="tx_id")
 
 
+def p3_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Readings and central readings of every aggregate, without its typical ones."""
+    return p3_clusters(spark, d).select("cluster_id", "size", "n_central")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(table(spark, d, "documents"))
@@ -81,7 +86,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segmented(spark, d).select("doc_id", F.posexplode("segments").alias("segment_no", "s")).select("doc_id", "segment_no", F.col("s.start").alias("from_char"), F.col("s.end").alias("to_char"), "s.lang", "s.confidence")
 
 
-QUERIES = {"p2_found": p2_found, "p2_sizes": p2_sizes, "p3_found": p3_found, "p3_clusters": p3_clusters, "p6_ids": p6_ids, "p7_found": p7_found, "p7_kinds": p7_kinds, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
+QUERIES = {"p2_found": p2_found, "p2_sizes": p2_sizes, "p3_found": p3_found, "p3_clusters": p3_clusters, "p3_sizes": p3_sizes, "p6_ids": p6_ids, "p7_found": p7_found, "p7_kinds": p7_kinds, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
 
 _GENE = "lower(regexp_replace({}, '[\\s\\p{{Z}}]+', '', 'g'))"
 _MATCHES = f"""
@@ -111,6 +116,7 @@ f AS (SELECT cluster_id, node AS tx_id FROM g UNION ALL SELECT min(cluster_id),
 
 SQL = {
     "p3_found": f"{_NEAR} SELECT cluster_id, tx_id FROM f",
+    "p3_sizes": f"{_NEAR} SELECT cluster_id, count(*) AS size, count(*) FILTER (tx_id IN (FROM c)) AS n_central FROM f GROUP BY cluster_id",
     "p2_found": f"{_MATCHES} SELECT group_id, sphere_id FROM g",
     "p2_sizes": f"{_MATCHES} SELECT n_spheres, count(*) AS n_groups FROM (SELECT count(*) AS n_spheres FROM g GROUP BY group_id) GROUP BY n_spheres",
 }

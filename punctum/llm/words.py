@@ -8,7 +8,7 @@ import unicodedata
 
 import regex
 
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
 #: A word broken at a line end, with whatever marks a quoted or listed line at its start.
 _BROKEN = re.compile(r"(?<=\w)[-‐‑][ \t]*(?:\r\n|\r|\n)[ \t>|*#]*(?=\w)")
 _APOSTROPHE = re.compile(r"(?<=\w)['‘’ʼʹ′`´＇](?=\w)")
