@@ -47,6 +47,9 @@ class LanguageParams:
     codings: tuple[tuple[int, int], ...] = ((3, 3), (4, 3))
 
 
+#: Units whose sizes a worker keeps, about 50 MB.
+KNOWN = 100_000
+
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _LEAD = re.compile(r"^[\s>*+•·–—-]*(?:\(?\d{1,3}[.)]\s+)?")
 _HEADING = re.compile(r"^\s*(?:#{1,6}\s|={2,}\s*\S|\S.*\s={2,}\s*$)")
@@ -96,6 +99,7 @@ class Classifier:
     def __init__(self, samples: dict[str, list[str]], p: LanguageParams):
         self.p = p
         self.codes = sorted(samples)
+        self.known: dict[str, list[int]] = {}
         self.codings = []
         for width, level in p.codings:
             wide, compress = _Wide(width), []
@@ -108,12 +112,18 @@ class Classifier:
             self.codings.append((wide, compress))
 
     def sizes(self, text: str) -> list[int]:
-        """Bytes of ``text`` in each language."""
-        text, total = plain(text), [0] * len(self.codes)
+        """Bytes of ``text`` in each language; those of the last ``KNOWN`` texts are kept, as sentences repeat."""
+        text = plain(text)
+        if text in self.known:
+            return self.known[text]
+        total = [0] * len(self.codes)
         if text:
             for wide, compress in self.codings:
                 data = wide(text)
                 total = [t + len(c(data)) for t, c in zip(total, compress)]
+        if len(self.known) >= KNOWN:
+            del self.known[next(iter(self.known))]
+        self.known[text] = total
         return total
 
 
