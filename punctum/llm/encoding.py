@@ -2,7 +2,7 @@
 
 1. A rolling hash over the bytes cuts every text into chunks wherever the last bytes say so, so that a passage in two
    texts gives the same chunks in both, whatever stands before it.
-2. Distinct chunks are encoded once, on their own.
+2. Equal chunks are brought together, and each is encoded once, on its own, for all texts that have it.
 3. Where two chunks of a text join, the words around the join are encoded again, from the last word start that the
    chunk before it has for certain, word by word, until a word start of the next chunk is met. From there on both readings
    agree: splitting a text into words from a word start depends only on what follows it.
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from punctum.plans.shared import written_once
 from punctum.plans.spread import spread
@@ -151,76 +152,79 @@ class Joiner:
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        uid, text = batch["uid"].to_pylist(), batch["text"].to_pylist()
-        u, no, chunk = [], [], []
-        for i, t in zip(uid, text):
+        row, no, chunk = [], [], []
+        for i, t in enumerate(batch["text"].to_pylist()):
             data = t.encode()
             start = 0
             for j, end in enumerate(chunk_ends(data)):
-                u.append(i)
+                row.append(i)
                 no.append(j)
                 chunk.append(data[start:end].decode())
                 start = end
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(no, pa.int32()), pa.array(chunk, pa.string())], ["uid", "no", "chunk"])
+        at = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch["id"].take(at), batch["uid"].take(at), pa.array(no, pa.int32()), pa.array(chunk, pa.string())], ["id", "uid", "no", "chunk"])
 
 
 def _encode_rows(vocabulary: str):
+    """Ids of each chunk; rows come sorted by chunk, so equal ones are encoded once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joiner = Joiner(vocabulary)
+        known, ids, last = None, [], (-1, 0)
         for batch in batches:
-            chunk = batch["chunk"].to_pylist()
-            ids = [joiner.encode(t) for t in chunk]
-            last = [joiner.last_start(t, i) for t, i in zip(chunk, ids)]
-            columns = [batch["h1"], batch["h2"], pa.array(ids, pa.list_(pa.int32())), pa.array([a for a, _ in last], pa.int32()), pa.array([b for _, b in last], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "ids", "last", "before"])
+            out = []
+            for chunk in batch["chunk"].to_pylist():
+                if chunk != known:
+                    known, ids = chunk, joiner.encode(chunk)
+                    last = joiner.last_start(chunk, ids)
+                out.append((ids, *last))
+            columns = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.list_(pa.int32()), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["uid"], batch["no"], *columns], ["id", "uid", "no", "ids", "last", "before"])
 
     return run
 
 
-def _join_rows(vocabulary: str):
+def _join_rows(vocabulary: str, id_type: pa.DataType):
     """Chunks in order of text and place, as a stream: one text is held at a time, whatever the batches."""
 
+    def whole(names: list, ids: list[list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, id_type), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joiner = Joiner(vocabulary)
-        current, parts = None, []
+        current, name, parts = None, None, []
         for batch in batches:
-            uids, ids = [], []
-            for uid, *part in zip(*(batch[c].to_pylist() for c in ("uid", "ids", "last", "before"))):
+            names, ids = [], []
+            for ident, uid, *part in zip(*(batch[c].to_pylist() for c in ("id", "uid", "ids", "last", "before"))):
                 if uid != current and parts:
-                    uids.append(current)
+                    names.append(name)
                     ids.append(joiner.join(parts))
                     parts = []
-                current = uid
+                current, name = uid, ident
                 parts.append(part)
-            yield _ids_batch(uids, ids)
+            yield whole(names, ids)
         if parts:
-            yield _ids_batch([current], [joiner.join(parts)])
+            yield whole([name], [joiner.join(parts)])
 
     return run
 
 
-def _ids_batch(uids: list[int], ids: list[list[int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["uid", "ids"])
-
-
 def encode_corpus(documents: DataFrame, *, row_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(row_id, ids) for every row of ``documents``: the ids of its text by the rank file ``vocabulary``.
 
-    A NULL and an empty text have no ids. Rows may repeat; each comes out. A chunk that very many texts share is encoded once, and its
-    references are joined to it under adaptive skew handling. A text is put together in one task, which needs
-    memory for that text alone.
+    A NULL and an empty text have no ids. Rows may repeat; each comes out. Chunks are shuffled twice, as text and as ids.
+    A partition of very many equal chunks is split by size, and such a chunk encoded once in each part. A text is put
+    together in one task, which needs memory for that text alone.
     """
     vocabulary = vocabulary or default_vocabulary()
     rows = documents.select(F.col(row_id).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("uid"))
-    rows = written_once(rows, "texts")
+    kind = rows.schema["id"].dataType
     full = rows.where("text IS NOT NULL AND text <> ''")
-    chunks = spread(full.select("uid", "text")).mapInArrow(_chunk_rows, "uid long, no int, chunk string")
-    chunks = chunks.withColumns({"h1": F.xxhash64("chunk"), "h2": F.xxhash64(F.lit(1), F.col("chunk"))})
-    chunks = written_once(chunks, "chunks")
-    once = chunks.select("h1", "h2", "chunk").distinct()
-    encoded = once.mapInArrow(_encode_rows(vocabulary), "h1 long, h2 long, ids array<int>, last int, before int")
-    parts = chunks.select("uid", "no", "h1", "h2").join(encoded, ["h1", "h2"])
-    ordered = parts.repartition("uid").sortWithinPartitions("uid", "no").select("uid", "ids", "last", "before")
-    ids = ordered.mapInArrow(_join_rows(vocabulary), "uid long, ids array<int>")
-    empty = F.array().cast("array<int>")
-    return rows.select("id", "uid").join(ids, "uid", "left").select(F.col("id").alias(row_id), F.coalesce("ids", empty).alias("ids"))
+    chunks = spread(full).mapInArrow(_chunk_rows, f"id {kind.simpleString()}, uid long, no int, chunk string")
+    chunks = written_once(chunks, "chunks")  # uids stay as they are, whatever is run again
+    alike = chunks.withColumn("h", F.xxhash64("chunk")).hint("rebalance", "h").sortWithinPartitions("chunk").drop("h")
+    encoded = alike.mapInArrow(_encode_rows(vocabulary), f"id {kind.simpleString()}, uid long, no int, ids array<int>, last int, before int")
+    ordered = encoded.repartition("uid").sortWithinPartitions("uid", "no").select("id", "uid", "ids", "last", "before")
+    ids = ordered.mapInArrow(_join_rows(vocabulary, to_arrow_type(kind)), f"id {kind.simpleString()}, ids array<int>")
+    none = documents.where(F.col(text).isNull() | (F.col(text) == "")).select(F.col(row_id).alias("id"), F.array().cast("array<int>").alias("ids"))
+    return ids.unionByName(none).select(F.col("id").alias(row_id), "ids")
