@@ -21,7 +21,7 @@ from punctum.operators.density import smallest_ball
 from punctum.operators.proximity import points_in_spheres
 from punctum.operators.spatial import touching_spheres
 from punctum.plans.components import components
-from punctum.plans.shared import cut
+from punctum.plans.shared import cut, forget
 
 #: Points are first taken from so many radii around a sphere.
 FACTOR = 3.0
@@ -148,6 +148,7 @@ def merged_spheres(spheres: DataFrame, points: DataFrame, rule: MergeRule = Merg
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out)
         done = cut(work.groupBy("grp").cogroup(own.groupBy("grp")).applyInPandas(run, f"{schema}, covered boolean"))
+        forget(own)
         grown = done.drop("covered")
         across = touching_spheres(grown, grouped, keys=k, scale=max(rule.l, 1.0)).join(grown.select(F.col("sphere_id").alias("a_id"), F.col("grp").alias("ga")), "a_id").join(grouped.select(F.col("sphere_id").alias("b_id"), F.col("grp").alias("gb")), "b_id")
         across = cut(across.where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -25,9 +27,35 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_kept: set[str] = set()
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/punctum-{spark.sparkContext.applicationId}"
+
+
 def staging_path(spark: SparkSession, label: str) -> str:
-    """A folder name below the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A folder name that no other call gets, below the application's own folder in the shared one.
+
+    Results read their tables when they are used, so these stay until ``clean`` is called, which also happens when the
+    driver's Python ends.
+    """
+    folder = _own_folder(spark)
+    if folder not in _kept:
+        _kept.add(folder)
+        atexit.register(_clean_at_exit, spark)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes every table that this application staged; results that weren't written elsewhere can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clean_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have been stopped; its folder names the application
+        clean(spark)
 
 
 def written_once(df: DataFrame, label: str) -> DataFrame:
