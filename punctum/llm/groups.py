@@ -41,7 +41,9 @@ def connected_groups(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for step in steps[1:]:
         up = step.select(F.col("node").alias("root"), F.col("root").alias("above"))
         labels = labels.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
-    return cut(labels)
+    out = cut(labels)
+    forget(edges, *steps)
+    return out
 
 
 def _jumped(parent: DataFrame) -> DataFrame:
