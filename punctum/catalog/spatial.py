@@ -147,12 +147,6 @@ def c20_lookup(spark, d):
     return _one_cell(spark, d).where("cell_id IS NOT NULL").select("cell_id").distinct().join(r, "cell_id", "left")
 
 
-def c21_guarded_zip(spark, d):
-    g = granules(spark, d)
-    counts = g.select("sphere_id", F.col("size").alias("profile_size"))
-    return S.one_to_one(g.select("sphere_id", "gene"), counts, ["sphere_id"])
-
-
 def c22_sweep(spark, d):
     samples = table(spark, d, "cells").select("sample_id").distinct()
     return samples.crossJoin(spark.createDataFrame([(0.2,), (0.5,)], "rho double")).crossJoin(table(spark, d, "scenario_def").select("scenario"))
@@ -301,7 +295,6 @@ SELECT spot_id, other_spot_id, CAST(place AS INT) AS place FROM o WHERE place <=
     "c18_covariate": sql(f"{_ONE}, n AS (SELECT brain_area, count(*) AS n_cells FROM oc GROUP BY brain_area) SELECT sp.spot_id, sp.brain_area, n.n_cells FROM sp LEFT JOIN n ON sp.brain_area = n.brain_area"),
     "c19_three_keys": sql("SELECT sample_id, gene, comp, count(*) AS n, max(size) AS largest FROM gr WHERE comp IS NOT NULL GROUP BY sample_id, gene, comp"),
     "c20_lookup": sql("SELECT c.cell_id, n FROM (SELECT DISTINCT cell_id FROM ce WHERE cell_id IS NOT NULL) c LEFT JOIN (SELECT cell_id, count(*) AS n FROM tx GROUP BY cell_id) t ON c.cell_id = t.cell_id"),
-    "c21_guarded_zip": sql("SELECT sphere_id, gene, size AS profile_size FROM gr"),
     "c22_sweep": "SELECT sample_id, rho, scenario FROM (SELECT DISTINCT sample_id FROM cells), (SELECT unnest([0.2::DOUBLE, 0.5::DOUBLE]) AS rho), scenario_def",
     "c24_hits_per_truth": sql(f"""{_SO}, h AS (SELECT so.cell_id, count(DISTINCT g.sphere_id) AS n FROM so JOIN gr g ON so.sample_id = g.sample_id AND (g.sphere_x - so.global_x) * (g.sphere_x - so.global_x) + (g.sphere_y - so.global_y) * (g.sphere_y - so.global_y) <= g.sphere_r * g.sphere_r GROUP BY so.cell_id)
 SELECT round(avg(coalesce(n, 0)), 6) AS mean_hits FROM (SELECT DISTINCT cell_id FROM so) s LEFT JOIN h ON s.cell_id = h.cell_id"""),
