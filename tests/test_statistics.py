@@ -126,3 +126,57 @@ def test_object_metrics_against_all_matchings(spark):
     four = pairs.select("run").distinct().withColumn("n", F.lit(4))
     m = V.object_metrics(pairs, four, four, truth="truth", keys=["run"], complete=0.6, pure=0.3).collect()
     assert {r["run"]: r["tp"] for r in m} == want and all(r["fn"] >= 0 for r in m)
+
+
+def test_poisson_numbers_of_any_mean(spark):
+    d = spark.range(4000).select("id", M.uniform(3, F.col("id")).alias("u"))
+    for mean in (0.0, 1.0, 40.0, 900.0):
+        r = d.select(M.poisson_count(F.col("u"), mean).alias("n")).agg(F.avg("n").alias("m"), F.var_samp("n").alias("v"), F.max("n").alias("top")).first()
+        assert r["m"] == pytest.approx(mean, abs=4 * math.sqrt(mean / 4000) + 1e-9) and r["v"] == pytest.approx(mean, rel=0.15, abs=1e-9)
+    assert r["top"] > 950
+    ends = spark.createDataFrame([(1e-17,), (1 - 2**-53,)], "u double").select(M.poisson_count(F.col("u"), 1.0).alias("n")).collect()
+    assert [e["n"] for e in ends] == [0, 18]
+
+
+def test_bootstrap_of_broken_values_and_no_rows(spark):
+    d = spark.createDataFrame([(1, "a", 2.0), (2, "a", None), (3, "a", float("nan")), (4, "b", 5.0), (5, None, 1.0)], "id long, g string, v double")
+    got = {r["g"]: (r["low"], r["high"]) for r in S.bootstrap_mean(d, "v", "id", ["g"], resamples=40).collect()}
+    assert got["a"] == (2.0, 2.0) and got["b"] == (5.0, 5.0) and got[None] == (1.0, 1.0)
+    assert S.bootstrap_mean(d.where("id > 9"), "v", "id", ["g"]).count() == 0
+    assert len(S._COPIES) == 24 and 1 - S._COPIES[-1] < 1e-15
+
+
+def test_agreement_of_runs_equals_that_of_two(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randint(0, 3), rng.randint(0, 2), i % 4) for i in range(60)]
+    d = spark.createDataFrame(rows, "id long, a int, b int, c int")
+    got = {(r["first"], r["second"]): r["ari"] for r in S.pairwise_rand(d, ["a", "b", "c"]).collect()}
+    for a, b in (("a", "b"), ("a", "c"), ("b", "c")):
+        assert got[a, b] == pytest.approx(S.adjusted_rand(d, a, b).first()[0])
+    same = d.withColumn("d", 3 - F.col("a"))
+    assert S.pairwise_rand(same, ["a", "d"]).first()["ari"] == pytest.approx(1.0)
+
+
+def test_number_of_clusters_mixtures_and_topics(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.gauss(20 * (i % 3), 0.3), rng.gauss(-15 * (i % 3), 0.3)) for i in range(90)]
+    d = spark.createDataFrame(rows, "id long, x double, y double")
+    sweep = {r["k"]: r for r in S.cluster_number_sweep(d, ["x", "y"], [2, 3], "id", seeds=(1, 2)).collect()}
+    assert sweep[3]["silhouette"] > 0.95 and sweep[3]["inertia"] < 100 < sweep[2]["inertia"]
+    label = {r["id"]: r["cluster"] for r in S.mixture_labels(d, ["x", "y"], 3, 1, "id").collect()}
+    assert len(label) == 90 and all(0 <= c < 3 for c in label.values())
+    e = spark.createDataFrame([(i, g, 9) for i in range(20) for g in ("AB" if i % 2 else "CD")], "id long, target string, n long")
+    shares = S.topic_shares(e, ["A", "B", "C", "D"], 2, 1, "id").collect()
+    assert len(shares) == 20 and all(abs(sum(r["shares"]) - 1) < 1e-6 for r in shares)
+
+
+def test_welch_against_the_rest_by_hand(spark):
+    labels = spark.createDataFrame([(i, "p" if i < 3 else "q") for i in range(7)], "id long, kind string")
+    expr = spark.createDataFrame([(0, "A", 4.0), (1, "A", 5.0), (2, "A", 7.0), (3, "A", 1.0)], "id long, target string, value double")
+    r = S.t_test_against_rest(expr, labels, "id", "kind").where("kind = 'p'").first()
+    import statistics
+
+    x, y = [4.0, 5.0, 7.0], [1.0, 0.0, 0.0, 0.0]
+    e1, e2 = statistics.variance(x) / 3, statistics.variance(y) / 4
+    assert r["t"] == pytest.approx((statistics.mean(x) - statistics.mean(y)) / math.sqrt(e1 + e2))
+    assert r["df"] == pytest.approx((e1 + e2) ** 2 / (e1**2 / 2 + e2**2 / 3)) and 0 < r["p"] < 0.05
