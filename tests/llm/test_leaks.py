@@ -152,3 +152,7 @@ def test_alignment_against_plain_edit_distance(seed):
 
     want = any(edits(p[a:b], t[c:d]) <= (b - a) // 5 for a in range(len(p)) for b in range(a + 15, len(p) + 1) for c in range(len(t) + 1) for d in range(max(c, c + (b - a) - 5), min(len(t), c + (b - a) + 5) + 1))
     assert holds_stretch(*_codes(p, t)) == want
+
+
+def test_tags_of_any_length_are_markup():
+    assert words(f'left <span title="{"x " * 400}">granular</span> lamp') == ["left", "granular", "lamp"]
