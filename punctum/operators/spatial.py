@@ -71,12 +71,33 @@ def touching_spheres(a: DataFrame, b: DataFrame, *, keys: Sequence[str] = ("samp
     return pairs.select(F.col("a_sphere_id").alias("a_id"), F.col("b_sphere_id").alias("b_id"), d.alias("distance")).distinct()
 
 
+_AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+
+
+def _nearest_of(left: DataFrame, right: DataFrame, keys: list[str], dims: int, k: int, cell: float, levels: Sequence[int], *, bound: Column | None = None, not_self: bool = False) -> DataFrame:
+    """(keys, lid, rid, distance, place): the ``k`` nearest within the 3 x 3 cells around each left row on its level."""
+    width = F.lit(float(cell)) * F.pow(F.lit(4.0), F.col("level").cast("double"))
+    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _AROUND))
+    at = left.withColumn("o", F.explode(offsets)).withColumns({"ix": F.floor(F.col("l0") / width) + F.col("o.i"), "iy": F.floor(F.col("l1") / width) + F.col("o.j")}).drop("o")
+    here = right.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumns({"ix": F.floor(F.col("r0") / width), "iy": F.floor(F.col("r1") / width)})
+    pairs = at.join(here, [*keys, "level", "ix", "iy"]).withColumn("distance", distance(*((F.col(f"l{i}"), F.col(f"r{i}")) for i in range(dims))))
+    if bound is not None:
+        pairs = pairs.where(bound)
+    if not_self:
+        pairs = pairs.where("lid <> rid")
+    # the rank is limited before the shuffle, so no row's candidates are gathered
+    place = F.row_number().over(Window.partitionBy(*keys, "lid").orderBy("distance", "rid"))
+    return pairs.select(*keys, "lid", "rid", "distance").withColumn("place", place).where(F.col("place") <= k)
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int, *, left_id: str, right_id: str, keys: Sequence[str] = (), left_xyz: Sequence[str], right_xyz: Sequence[str], cell: float, within: float | None = None, not_self: bool = False) -> DataFrame:
     """(left_id, right_id, distance, place) of the ``k`` nearest on the right of every row on the left, by distance, then right_id.
 
-    Looks in the 3 x 3 cells around a point first; who has fewer than ``k`` in certain reach goes on with cells four
-    times as wide, until these span all positions. ``within`` takes only distances strictly below it. Rows repeat nothing;
-    if both ids have one name the right one comes out as ``other_<name>``, and ``not_self`` leaves equal ids out.
+    Counts of cells tell the finest level, each four times as wide as the one before it, on which the 3 x 3 cells around a
+    row hold ``k`` rows; these alone are compared. Their k-th distance bounds the true one, so a row whose bound is wider
+    than its cells is compared once more, on the level that reaches it, within the bound. ``within`` takes only
+    distances strictly below it. Rows repeat nothing; if both ids have one name the right one comes out as
+    ``other_<name>``, and ``not_self`` leaves equal ids out.
     """
     keys = list(keys)
     out_id = f"other_{right_id}" if right_id == left_id else right_id
@@ -87,38 +108,44 @@ def nearest(left: DataFrame, right: DataFrame, k: int, *, left_id: str, right_id
         for i in range(dims):
             side = side.where(finite(F.col(f"{s}{i}")))
         sides.append(side)
-    todo, rows = sides
-    span = rows.agg(*(F.max(f"r{i}").alias(f"hi{i}") for i in range(2)), *(F.min(f"r{i}").alias(f"lo{i}") for i in range(2))).first()
-    other = todo.agg(*(F.max(f"l{i}").alias(f"hi{i}") for i in range(2)), *(F.min(f"l{i}").alias(f"lo{i}") for i in range(2))).first()
-    extent = 0.0
-    if span[0] is not None and other[0] is not None:
-        extent = max(max(span[i], other[i]) - min(span[i + 2], other[i + 2]) for i in range(2))
-    width, found = float(min(cell, within)) if within else float(cell), None
+    named = [F.col("lid").alias(left_id), F.col("rid").alias(out_id), "distance", "place"]
+    if within:
+        near = _nearest_of(sides[0].withColumn("level", F.lit(0)), sides[1], keys, dims, k, float(within), [0], bound=F.col("distance") < within, not_self=not_self)
+        return near.select(*named)
+    todo, rows = cut(sides[0]), cut(sides[1])
+    ends = [df.agg(*(f(f"{s}{i}") for i in range(2) for f in (F.min, F.max))).first() for df, s in ((todo, "l"), (rows, "r"))]
+    extent = 0.0 if any(e[0] is None for e in ends) else max(max(e[2 * i + 1] for e in ends) - min(e[2 * i] for e in ends) for i in range(2))
+    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _AROUND))
+    seeds, level, used = None, 0, []
     while True:
-        if within:
-            width = float(within)
-        near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-        at = todo.withColumn("o", F.explode(near)).withColumns({"ix": F.floor(F.col("l0") / width) + F.col("o.i"), "iy": F.floor(F.col("l1") / width) + F.col("o.j")}).drop("o")
-        here = rows.withColumns({"ix": F.floor(F.col("r0") / width), "iy": F.floor(F.col("r1") / width)})
-        d = distance(*((F.col(f"l{i}"), F.col(f"r{i}")) for i in range(dims)))
-        pairs = at.join(here, [*keys, "ix", "iy"]).withColumn("distance", d)
-        if within:
-            pairs = pairs.where(F.col("distance") < within)
-        if not_self:
-            pairs = pairs.where("lid <> rid")
-        ranked = pairs.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "lid").orderBy("distance", "rid"))).where(F.col("place") <= k)
-        last = bool(within) or width > extent
+        width = float(cell) * 4.0**level
+        last = width > extent
+        here, rest = todo, None
         if not last:
-            ranked = cut(ranked.select(*keys, "lid", "rid", "distance", "place"))
-            sure = ranked.where((F.col("place") == k) & (F.col("distance") <= width)).select(*keys, "lid").distinct()
-            rest = cut(todo.join(sure, [*keys, "lid"], "left_anti"))
-            ranked = ranked.join(sure, [*keys, "lid"], "left_semi")
-        ranked = ranked.select("lid", "rid", "distance", "place")
-        found = ranked if found is None else found.unionByName(ranked)
+            n = rows.groupBy(*keys, F.floor(F.col("r0") / width).alias("ix"), F.floor(F.col("r1") / width).alias("iy")).agg(F.count(F.lit(1)).alias("n"))
+            at = todo.select(*keys, "lid", F.floor(F.col("l0") / width).alias("cx"), F.floor(F.col("l1") / width).alias("cy"), F.explode(offsets).alias("o"))
+            at = at.select(*keys, "lid", (F.col("cx") + F.col("o.i")).alias("ix"), (F.col("cy") + F.col("o.j")).alias("iy"))
+            enough = cut(at.join(n, [*keys, "ix", "iy"]).groupBy(*keys, "lid").agg(F.sum("n").alias("n")).where(F.col("n") >= k + int(not_self)).drop("n"))
+            here, rest = todo.join(enough, [*keys, "lid"], "left_semi"), cut(todo.join(enough, [*keys, "lid"], "left_anti"))
+        here = here.withColumn("level", F.lit(level))
+        seeds = here if seeds is None else seeds.unionByName(here)
+        used.append(level)
         if last or rest.isEmpty():
             break
-        todo, width = rest, width * 4
-    return found.select(F.col("lid").alias(left_id), F.col("rid").alias(out_id), "distance", "place")
+        todo, level = rest, level + 1
+    seeds = cut(seeds)
+    ranked = cut(_nearest_of(seeds, rows, keys, dims, k, cell, used, not_self=not_self))
+    top = 0
+    while float(cell) * 4.0**top <= extent:
+        top += 1
+    reach = F.lit(float(cell)) * F.pow(F.lit(4.0), F.col("level").cast("double"))
+    wide = seeds.join(ranked.where(F.col("place") == k).select(*keys, "lid", F.col("distance").alias("most")), [*keys, "lid"]).where((F.col("most") > reach) & (F.col("level") < top))
+    wide = cut(wide.withColumn("level", F.least(F.ceil(F.log(4.0, F.col("most") / F.lit(float(cell))) + 1e-9), F.lit(top)).cast("int")))
+    again = sorted(r[0] for r in wide.select("level").distinct().collect())  # levels, as few as the extent has
+    if again:
+        more = _nearest_of(wide, rows, keys, dims, k, cell, again, bound=F.col("distance") <= F.col("most"), not_self=not_self)
+        ranked = ranked.join(wide.select(*keys, "lid").distinct(), [*keys, "lid"], "left_anti").unionByName(more)
+    return ranked.select(*named)
 
 
 def grid_bounds(points: DataFrame, width: float, keys: Sequence[str] = (), x: str = "global_x", y: str = "global_y") -> DataFrame:
