@@ -81,7 +81,7 @@ def neighbour_descent(grid: Columns, k: int, rounds: int, seed: int = 0) -> tupl
             moved[at] |= (np.isinf(d2).sum(axis=1) < np.isinf(dist[at]).sum(axis=1))
             c[np.isinf(d2)] = -1
             best[at], dist[at] = c, d2
-        if turn and moved.sum() <= n // 200 or turn == rounds:
+        if turn and moved.sum() <= n // 200 or turn == rounds or not moved.any():  # none moves in turn 0 if no node has another of its block
             break
         back = np.full((n, k), -1)  # up to k of the nodes that have it as a neighbour
         src, dst = np.repeat(me, k), best.ravel()

@@ -63,6 +63,11 @@ def test_crowded_copies_come_back_with_their_cluster(spark):
     assert sorted((r["cluster_id"], r["tx_id"]) for r in got) == brute(rows)
 
 
+def test_a_tile_of_lone_positions(spark):
+    rows = [(i, "a", "A", 1.0, 1.0, 0.0) for i in range(4)] + [(10 + i, "a", "B", 1.0, 1.0, 0.0) for i in range(2)] + [(20 + i, "a", "A", 900.0, 1.0, 0.0) for i in range(3)]
+    assert sorted((r["cluster_id"], r["tx_id"]) for r in run(spark, rows).collect()) == brute(rows)
+
+
 def test_the_graph_decides_and_the_check_completes(monkeypatch):
     rng = np.random.default_rng(2)
     middle = rng.uniform(0, 90, (150, 3)) * np.array([1, 1, 0.1])
