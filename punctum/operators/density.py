@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -21,6 +22,8 @@ from punctum.plans.components import components
 from punctum.plans.shared import written_once
 
 XYZ = ("global_x", "global_y", "global_z")
+#: Positions of a cluster that may be gathered as they are.
+FEW = 1000
 
 
 @dataclass(frozen=True)
@@ -141,6 +144,75 @@ def smallest_ball(xyz: np.ndarray, tolerance: float = 1e-8) -> tuple[np.ndarray,
         centre, r2, support = best
 
 
+#: Subsets of a support and a farther point, by place, without those that lack the point, which is place 4; smallest first.
+_SUBSETS = [(*rows, 4) for size in (1, 2, 3) for rows in itertools.combinations(range(4), size)]
+
+
+def _grown(pool: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centre, squared radius, number in _SUBSETS) of the smallest sphere of each pool (4 support places and a new point) around
+    all of it. ``count`` of the support places are taken; the radius is infinite where no subset will do. Flat subsets are left
+    out, as a subset of theirs has the same sphere."""
+    taken = np.concatenate([np.arange(4) < count[:, None], np.ones((len(pool), 1), bool)], axis=1)
+    best = np.full(len(pool), np.inf)
+    centre, which = np.zeros((len(pool), 3)), np.full(len(pool), -1)
+    for number, rows in enumerate(_SUBSETS):
+        at = np.flatnonzero(taken[:, rows].all(axis=1))
+        sub = pool[at][:, rows]
+        base, q = sub[:, 0], sub[:, 1:] - sub[:, :1]
+        if len(rows) == 2:
+            c = base + q[:, 0] / 2
+        else:
+            g, b = 2 * q @ q.transpose(0, 2, 1), (q * q).sum(axis=2)
+            full = np.abs(np.linalg.det(g)) > 1e-9 * np.diagonal(g, axis1=1, axis2=2).prod(axis=1)
+            at, sub, base, q, g, b = at[full], sub[full], base[full], q[full], g[full], b[full]
+            c = base + (np.linalg.solve(g, b[:, :, None]) * q).sum(axis=1)
+        r2 = ((sub - c[:, None]) ** 2).sum(axis=2).max(axis=1)
+        holds = ((((pool[at] - c[:, None]) ** 2).sum(axis=2) <= (r2 * (1 + 1e-10) + 1e-18)[:, None]) | ~taken[at]).all(axis=1) & (r2 < best[at])
+        best[at[holds]], centre[at[holds]], which[at[holds]] = r2[holds], c[holds], number
+    return centre, best, which
+
+
+def smallest_balls(xyz: np.ndarray, sizes: np.ndarray, tolerance: float = 1e-8) -> np.ndarray:
+    """Rows (x, y, z, radius) of the smallest spheres of groups of ``sizes`` points that follow each other in ``xyz``.
+
+    ``smallest_ball`` for all groups at once, those of about one size together; groups over 64 points are taken one by one.
+    """
+    out = np.zeros((len(sizes), 4))
+    start = np.cumsum(sizes) - sizes
+    o = np.lexsort((xyz[:, 2], xyz[:, 1], xyz[:, 0], np.repeat(np.arange(len(sizes)), sizes)))
+    xyz = np.asarray(xyz, float)[o]
+    alone = list(np.flatnonzero(sizes > 64))
+    low = 0
+    for high in (4, 8, 16, 32, 64):
+        ids = np.flatnonzero((sizes > low) & (sizes <= high))
+        low = high
+        pts = xyz[start[ids, None] + np.minimum(np.arange(high), sizes[ids, None] - 1)]
+        support, count = np.repeat(pts[:, :1], 4, axis=1), np.ones(len(ids), np.int64)
+        centre, r2 = pts[:, 0].copy(), np.zeros(len(ids))
+        live = np.arange(len(ids))
+        while len(live):
+            d2 = ((pts[live] - centre[live][:, None]) ** 2).sum(axis=2)
+            far = d2.argmax(axis=1)
+            most = d2[np.arange(len(live)), far]
+            out[ids[live]] = np.column_stack([centre[live], np.sqrt(most)])
+            more = most > r2[live] * (1 + tolerance) + 1e-18
+            live, far = live[more], far[more]
+            pool = np.concatenate([support[live], pts[live, far][:, None]], axis=1)
+            c, q, which = _grown(pool, count[live])
+            alone += list(ids[live[which < 0]])
+            up = (which >= 0) & (q > r2[live] * (1 + 1e-13))
+            live, pool, which = live[up], pool[up], which[up]
+            centre[live], r2[live] = c[up], q[up]
+            for number, rows in enumerate(_SUBSETS):
+                mine = which == number
+                support[live[mine], : len(rows)] = pool[mine][:, rows]
+                count[live[mine]] = len(rows)
+    for i in alone:
+        c, r = smallest_ball(xyz[start[i] : start[i] + sizes[i]], tolerance)
+        out[i] = *c, r
+    return out
+
+
 def _rim(members: DataFrame, by: list[str]) -> DataFrame:
     """The distinct positions of each cluster that may lie on its smallest sphere.
 
@@ -157,15 +229,28 @@ def _rim(members: DataFrame, by: list[str]) -> DataFrame:
     return far.join(reach, by).where(F.col("d") >= q - slack - 1e-9).select(*by, *XYZ)
 
 
-def enclosing_balls(members: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, sphere_x, sphere_y, sphere_z, sphere_r): the smallest sphere around each cluster."""
+def enclosing_balls(members: DataFrame, by: Sequence[str], *, least: int = 1, distinct: bool = False) -> DataFrame:
+    """(by, sphere_x, sphere_y, sphere_z, sphere_r): the smallest sphere around each cluster of ``least`` positions or more.
+
+    Positions of a cluster are gathered in one row; of clusters with over ``FEW`` only those that may lie on the sphere.
+    ``distinct`` tells that ``members`` is a written table with each position of a cluster once.
+    """
     by = list(by)
-    rim = _rim(members, by).groupBy(*by).agg(*(F.collect_list(c).alias(c) for c in XYZ))
+    spots = members if distinct else written_once(members.select(*by, *XYZ).distinct(), "spots")
+    n = written_once(spots.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")), "sizes")
+    gathered = lambda df: df.groupBy(*by).agg(*(F.collect_list(c).alias(c) for c in XYZ))
+    n = n.where(F.col("__n") >= least)
+    many = n.where(F.col("__n") > FEW)
+    if many.isEmpty():
+        rim = gathered(spots).where(F.size(XYZ[0]) >= least)
+    else:
+        rim = gathered(spots.join(n.where(F.col("__n") <= FEW), by, "left_semi")).unionByName(gathered(_rim(spots.join(many, by, "left_semi"), by)))
 
     @F.pandas_udf("sphere_x double, sphere_y double, sphere_z double, sphere_r double")
     def ball(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.DataFrame:
-        out = [smallest_ball(np.column_stack(p)) for p in zip(x, y, z)]
-        return pd.DataFrame([(*c, r) for c, r in out], columns=["sphere_x", "sphere_y", "sphere_z", "sphere_r"])
+        sizes = x.map(len).to_numpy(np.int64)
+        xyz = np.column_stack([np.concatenate([np.zeros(0), *c]) for c in (x, y, z)])
+        return pd.DataFrame(smallest_balls(xyz, sizes), columns=["sphere_x", "sphere_y", "sphere_z", "sphere_r"])
 
     spark = members.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -173,25 +258,36 @@ def enclosing_balls(members: DataFrame, by: Sequence[str]) -> DataFrame:
     return rim.repartition(tasks, *by).select(*by, ball(*XYZ).alias("b")).select(*by, "b.*")
 
 
-def detected_spheres(points: DataFrame, p: DetectorParams, *, markers: Sequence[str] | None = None, keys: Sequence[str] = ("sample_id",), radius_first: bool = False, keep_cell: bool = True) -> DataFrame:
+def detected_spheres(points: DataFrame, p: DetectorParams, *, markers: Sequence[str] | None = None, keys: Sequence[str] = ("sample_id",), radius_first: bool = False, keep_cell: bool = True, candidates: DataFrame | None = None) -> DataFrame:
     """Spheres of the density clusters of every marker, with features, in one job for all markers.
 
     Columns: keys, gene, sphere_id (the cluster's least central id), sphere_x, sphere_y, sphere_z, layer_z, sphere_r, size,
     comp, in_soma_ratio, cell_id. Clusters with fewer than ``low_bound`` distinct positions are dropped. size is the members,
     copies included, and the other markers' points in the sphere; comp the distinct markers among these; in_soma_ratio
     the share in nuclei. With ``merge_genes`` all markers cluster as one, and size, comp and in_soma_ratio are
-    taken over all their points in the sphere. Thresholds are strict. A marker without points gives no rows.
+    taken over all their points in the sphere. Thresholds are strict. A marker without points gives no rows. ``candidates``,
+    if given, has all of the points that can be in a cluster, and both are written tables; only these are clustered.
     """
     k = list(keys)
     pts = points if markers is None else points.where(F.col("target").isin(*markers))
     pts = pts.withColumn("group", F.lit(p.merged_gene_label) if p.merge_genes else F.col("target"))
-    pts = written_once(pts.select(*k, "tx_id", "target", "group", "overlaps_nucleus", "cell_id", *XYZ), "points")  # read by every step below
+    pts = pts.select(*k, "tx_id", "target", "group", "overlaps_nucleus", "cell_id", *XYZ)
+    if candidates is None:
+        pts = written_once(pts, "points")  # read by every step below
+        some = pts
+    else:
+        some = candidates.withColumn("group", F.lit(p.merged_gene_label) if p.merge_genes else F.col("target"))
     least = p.minspl if p.minspl is not None else least_points(pts.drop("target").withColumnRenamed("group", "target"), p, k).withColumnRenamed("target", "group")
-    found = density_clusters(pts, eps=p.eps, least=least, groups=[*k, "group"], written=True)
-    members = written_once(found.join(pts.select("tx_id", "overlaps_nucleus", "cell_id", *XYZ), "tx_id"), "members")
+    found = density_clusters(some, eps=p.eps, least=least, groups=[*k, "group"], written=True)
     by = [*k, "group", "cluster"]
-    stats = members.groupBy(*by).agg(F.count(F.lit(1)).alias("own"), F.sum("overlaps_nucleus").alias("own_soma"), F.countDistinct(*XYZ).alias("places"), F.mode("cell_id", True).alias("cell_id"))
-    balls = enclosing_balls(members.join(stats.where(F.col("places") >= p.low_bound).select(*by), by, "left_semi"), by)
+    members = found.join(some.select("tx_id", "overlaps_nucleus", *(["cell_id"] if keep_cell else []), *XYZ), "tx_id")
+    if keep_cell:
+        members = written_once(members, "members")
+    spots = written_once(members.groupBy(*by, *XYZ).agg(F.count(F.lit(1)).alias("n"), F.sum("overlaps_nucleus").alias("soma")), "spots")
+    stats = spots.groupBy(*by).agg(F.sum("n").alias("own"), F.sum("soma").alias("own_soma"), F.count(F.lit(1)).alias("places"))
+    if keep_cell:
+        stats = stats.join(members.groupBy(*by).agg(F.mode("cell_id", True).alias("cell_id")), by)
+    balls = enclosing_balls(spots, by, least=p.low_bound, distinct=True)
     s = written_once(balls.join(stats, by).withColumnRenamed("cluster", "sphere_id"), "balls")
     inside = points_in_spheres(pts, s, keys=k, carry=["target", "group", "overlaps_nucleus"]).join(s.select("sphere_id", F.col("group").alias("own_group")), "sphere_id")
     if p.merge_genes:

@@ -54,6 +54,29 @@ def test_smallest_ball_against_all_supports():
         assert (np.sqrt(((p - centre) ** 2).sum(axis=1)) <= r + 1e-7).all()
 
 
+def test_balls_of_many_groups_equal_those_of_each():
+    rng = np.random.default_rng(5)
+    groups = [np.unique(np.round(rng.normal(0, 0.6, (n, 3)) * 128) / 128, axis=0) for n in [1, 2, 3, *rng.integers(3, 90, 120)]]
+    for i, g in enumerate(groups):
+        if i % 2:
+            g[:, 2] = 1.5 * np.round(g[:, 2])
+    got = D.smallest_balls(np.concatenate([g[::-1] for g in groups]), np.array([len(g) for g in groups]))
+    want = np.array([(*c, r) for c, r in map(D.smallest_ball, groups)])
+    assert np.abs(got - want).max() < 1e-7
+    assert D.smallest_balls(np.zeros((0, 3)), np.zeros(0, int)).shape == (0, 4)
+
+
+@pytest.mark.parametrize("few", [1000, 3])
+def test_spheres_among_candidates_equal_those_among_all(spark, monkeypatch, few):
+    monkeypatch.setattr(D, "FEW", few)
+    rows = [(i, "a", "A", x, y, 0.0, 0, "c") for i, (x, y) in enumerate([(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.5, 0.5), (20.0, 0.0), (21.0, 0.0), (20.0, 1.0)])]
+    rest = [(50, "a", "A", 40.0, 0.0, 0.0, 0, "c"), (51, "a", "B", 0.5, 0.5, 0.0, 1, "c")]
+    p = D.DetectorParams(minspl=3, in_soma_thr=0.5)
+    want = D.detected_spheres(spark.createDataFrame(rows + rest, PTS), p, keep_cell=False).collect()
+    got = D.detected_spheres(spark.createDataFrame(rows + rest, PTS), p, keep_cell=False, candidates=spark.createDataFrame(rows, PTS)).collect()
+    assert len(got) == 2 and sorted(got) == sorted(want) and {r["size"] for r in got} == {6.0, 3.0}
+
+
 def test_sphere_features(spark):
     rows = [(1, "a", "g", 0.0, 0.0, 0.0, 1, "c1"), (2, "a", "g", 1.0, 0.0, 0.0, 0, "c1"), (3, "a", "g", 0.0, 1.0, 0.0, 0, "c0"), (4, "a", "g", 1.0, 1.0, 0.0, 0, "c0"), (5, "a", "h", 0.5, 0.5, 0.1, 1, None), (6, "a", "h", 50.0, 0.5, 0.0, 1, None)]
     rows += [(10 + i, "a", "k", 9.0, 9.0, 0.0, 0, None) for i in range(4)]  # one position: too few places
